@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# ISO first; then day-first forms; month-first only where day-first cannot be read.
-_DAY_FIRST = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy/M/d", "d MMM yyyy", "d MMMM yyyy", "yyyyMMdd",
-              "M/d/yyyy", "M-d-yyyy", "MMM d, yyyy", "MMMM d, yyyy")
+# After ISO: day-first forms, then month-first where day-first cannot be read. Each format is tried only on
+# text of its shape, because a failed parse costs far more than a pattern test.
+_FORMATS = (
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"), (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
+    (r"^\d{8}$", "yyyyMMdd"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"), (r"^[A-Za-z]{4,} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+)
 
 
 def iso_date(text: Column) -> Column:
@@ -16,4 +22,4 @@ def iso_date(text: Column) -> Column:
 
 def ledger_date(text: Column) -> Column:
     t = F.trim(text)
-    return F.coalesce(iso_date(t), *[F.try_to_date(t, fmt) for fmt in _DAY_FIRST])
+    return F.coalesce(iso_date(t), *[F.when(t.rlike(shape), F.try_to_date(t, fmt)) for shape, fmt in _FORMATS])

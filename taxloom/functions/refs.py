@@ -26,4 +26,4 @@ def description_tokens(text: Column) -> Column:
     """Distinct ASCII words of four letters or more that name the subject, sorted."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]{4,}"), F.lit(0))
     stop = F.array(*[F.lit(w) for w in C.DESCRIPTION_STOP_WORDS])
-    return F.coalesce(F.array_sort(F.array_except(words, stop)), F.array().cast("array<string>"))
+    return F.coalesce(F.sort_array(F.array_except(words, stop)), F.array().cast("array<string>"))

@@ -35,7 +35,7 @@ def _word_map() -> Column:
 
 def article_number(token: Column) -> Column:
     """Digits or an English number word up to ninety-nine as canonical digits; anything else is null."""
-    t = F.lower(strip(token))
+    t = F.lower(token)
     one, tens = F.array(*[F.lit(w) for w in C.ONES]), F.array(*[F.lit(w) for w in C.TENS])
     parts = F.split(t, "[- ]", 2)
     head, tail = F.get(parts, 0), F.get(parts, 1)
@@ -56,10 +56,9 @@ def looks_like_title(text: Column) -> Column:
 def arabic_articles(text: Column) -> Column:
     """Bodies between "article N:" markers; text before the first marker is dropped."""
     numbers = F.regexp_extract_all(text, F.lit(ARABIC_MARKER), F.lit(1))
-    bodies = F.split(text, ARABIC_MARKER)
-    return F.transform(numbers, lambda n, i: F.struct(
-        western_digits(n).alias("article_number"),
-        strip(F.regexp_replace(strip(F.get(bodies, i + 1)), r"^[:\-،  ]+", "")).alias("body"))).cast(ARTICLES)
+    bodies = F.slice(F.split(text, ARABIC_MARKER), 2, 1_000_000_000)
+    return F.zip_with(numbers, bodies, lambda n, b: F.struct(
+        western_digits(n).alias("article_number"), strip(F.regexp_replace(strip(b), r"^[:\-،  ]+", "")).alias("body"))).cast(ARTICLES)
 
 
 def english_articles(text: Column) -> Column:
@@ -71,17 +70,20 @@ def english_articles(text: Column) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(ENGLISH_MARKER), F.lit(0))
     between = F.split(text, ENGLISH_MARKER)
-    marker = "struct<kind:string,number:string,stop:int>"
-
-    def read(m: Column, i: Column) -> Column:
-        heading = m.startswith("#")
-        title = strip(F.regexp_replace(m, HEADING, ""))
-        tagged = F.when(heading, title).otherwise(m)
-        number = article_number(F.nullif(F.regexp_extract(tagged, ARTICLE_TAG, 1), F.lit("")))
-        kind = (F.when(number.isNotNull(), "tag").when(~heading | (title == ""), "none")
-                .when(title.rlike(CHAPTER), "chapter").when(looks_like_title(title), "title").otherwise("none"))
-        return F.struct(kind.alias("kind"), number.alias("number"),
-                        (F.length(F.get(between, i)) + F.length(m)).alias("stop")).cast(marker)
+    # Three small steps, so that no pattern is evaluated twice for a marker.
+    titled = F.filter(F.zip_with(found, between, lambda m, gap: F.struct(
+        m.startswith("#").alias("heading"), strip(F.regexp_replace(m, HEADING, "")).alias("title"),
+        (F.length(gap) + F.length(m)).alias("stop"))), lambda x: x["heading"].isNotNull())
+    tokens = F.transform(titled, lambda x: F.struct(
+        x["heading"].alias("heading"), x["title"].alias("title"), x["stop"].alias("stop"),
+        F.regexp_extract(x["title"], ARTICLE_TAG, 1).alias("token")))
+    numbers = F.transform(tokens, lambda x: F.struct(
+        x["heading"].alias("heading"), x["title"].alias("title"), x["stop"].alias("stop"),
+        F.when(x["token"] != "", article_number(x["token"])).alias("number")))
+    markers = F.transform(numbers, lambda x: F.struct(
+        F.when(x["number"].isNotNull(), "tag").when(~x["heading"] | (x["title"] == ""), "none")
+        .when(x["title"].rlike(CHAPTER), "chapter").when(looks_like_title(x["title"]), "title").otherwise("none").alias("kind"),
+        x["number"].alias("number"), x["stop"].alias("stop")))
 
     state = "struct<started:boolean,next:int,at:int,marks:array<struct<number:string,start:int>>>"
     zero = F.struct(F.lit(False).alias("started"), F.lit(1).alias("next"), F.lit(0).alias("at"),
@@ -98,7 +100,7 @@ def english_articles(text: Column) -> Column:
             F.when(number.isNotNull(), number.try_cast("int") + 1).otherwise(acc["next"]).alias("next"), at.alias("at"),
             F.when(number.isNotNull(), F.array_append(acc["marks"], mark)).otherwise(acc["marks"]).alias("marks")).cast(state)
 
-    marks = F.aggregate(F.transform(found, read), zero, step, lambda acc: acc["marks"])
+    marks = F.aggregate(markers, zero, step, lambda acc: acc["marks"])
 
     def body(mark: Column, i: Column, all_marks: Column) -> Column:
         stop = F.coalesce(F.get(all_marks, i + 1)["start"], F.length(text))
@@ -149,13 +151,12 @@ def context_header(document_type: Column, number: Column, language: Column) -> C
                  F.when(plain, number).otherwise(section), F.lit(":")))
 
 
-def split_long(body: Column, max_words: int) -> Column:
+def split_long(body: Column, body_words: Column, max_words: int) -> Column:
     """Pieces of at most ``max_words`` words; a body within the limit stays as it is."""
-    w = words(body)
-    n = F.ceil(F.size(w) / max_words).cast("int")
+    n = F.ceil(F.size(body_words) / max_words).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1),
-                      lambda i: F.array_join(F.slice(w, i * max_words + 1, F.lit(max_words)), " "))
-    return F.when(F.size(w) <= max_words, F.array(body)).otherwise(cut)
+                      lambda i: F.array_join(F.slice(body_words, i * max_words + 1, F.lit(max_words)), " "))
+    return F.when(F.size(body_words) <= max_words, F.array(body)).otherwise(cut)
 
 
 def articles_of(text: Column, language: Column) -> Column:
@@ -179,13 +180,16 @@ def chunk_documents(documents: DataFrame, max_words: int = C.MAX_ARTICLE_WORDS)
     with_text = documents.filter(F.coalesce(F.col("text") != "", F.lit(False)))
     found = with_text.withColumn("articles", articles_of(F.col("text"), lang))
     whole = F.when(F.size("articles") > 0, F.col("articles")).otherwise(fallback_sections(F.col("text"), max_words))
-    sections = found.select(*keep, F.posexplode(whole).alias("section_index", "article"))
-    parts = sections.select(*keep, "section_index", "article.article_number", split_long(F.col("article.body"), max_words).alias("pieces"))
-    pieces = parts.select(*keep, "section_index", "article_number", F.size("pieces").alias("n"),
-                          F.posexplode("pieces").alias("part_index", "piece"))
+    # The outer explode keeps Spark from evaluating the whole array a second time in an inferred filter.
+    sections = found.select(*keep, F.posexplode_outer(whole).alias("section_index", "article")).filter(F.col("article").isNotNull())
+    worded = sections.select(*keep, "section_index", "article.*", words(F.col("article.body")).alias("w"))
+    parts = worded.select(*keep, "section_index", "article_number", split_long(F.col("body"), F.col("w"), max_words).alias("pieces"),
+                          F.size("w").alias("n_words"))
+    pieces = parts.select(*keep, "section_index", "article_number", "n_words", F.size("pieces").alias("n"),
+                          F.posexplode_outer("pieces").alias("part_index", "piece"))
     suffix = F.when(F.col("n") > 1, F.format_string(" (part %d/%d)", F.col("part_index") + 1, F.col("n"))).otherwise("")
     header = context_header(F.col("document_type"), F.col("article_number"), lang)
     chunks = pieces.select(
         *keep, "section_index", "article_number", "part_index",
-        F.concat(header, suffix, F.lit(" "), F.col("piece")).alias("text"), F.size(words(F.col("piece"))).alias("word_count"))
+        F.concat(header, suffix, F.lit(" "), F.col("piece")).alias("text"), F.least(F.col("n_words") - F.col("part_index") * max_words, F.lit(max_words)).alias("word_count"))
     return chunks.withColumn("references", references_in(F.col("text"), F.col("article_number"), lang))

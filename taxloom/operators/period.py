@@ -15,6 +15,7 @@ from taxloom import constants as C
 from taxloom.functions import money as M
 from taxloom.functions.labels import label
 from taxloom.functions.text import strip
+from taxloom.session import settle
 from taxloom.sources.columns import cell
 
 VAT = "decimal(38,6)"
@@ -40,7 +41,7 @@ class PeriodReturn:
 
 def is_total_row(cells: Column) -> Column:
     """Any cell mentions a total; a vendor so named makes its row a total row too."""
-    return F.coalesce(F.exists(cells, lambda c: F.lower(c["value"]).contains("total")), F.lit(False))
+    return F.lower(F.array_join(cells["value"], "\n")).contains("total")
 
 
 def row_label(cells: Column, description: Column) -> Column:
@@ -49,25 +50,31 @@ def row_label(cells: Column, description: Column) -> Column:
 
 
 def _first_hit(text: Column, keywords) -> Column:
-    return F.get(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: text.contains(k)), 0)
+    return F.coalesce(*[F.when(text.contains(k), F.lit(k)) for k in keywords])
 
 
-def reclaimability(stated: Column, description: Column, category: Column) -> Column:
+def stated_text(stated: Column) -> Column:
+    return F.lower(strip(F.coalesce(stated, F.lit(""))))
+
+
+def subject_text(description: Column, category: Column) -> Column:
+    return F.lower(F.concat_ws(" ", F.coalesce(description, F.lit("")), F.coalesce(category, F.lit(""))))
+
+
+def reclaimability(said: Column, subject: Column, raw: Column) -> Column:
     """struct(reclaimable, reason_code, keyword, needs_review) of a purchase.
 
-    A stated yes or no wins; then blocked words, then words that need a person's decision.
+    A stated yes or no wins; then blocked words, then words that need a person's decision. ``said`` and
+    ``subject`` (see above) are read many times, so callers pass them as computed columns.
     """
-    said = F.lower(strip(F.coalesce(stated, F.lit(""))))
-    first = F.regexp_replace(F.get(F.split(said, r"(?U)\s+"), 0), r"[.,;:]+$", "")
-    text = F.lower(F.concat_ws(" ", F.coalesce(description, F.lit("")), F.coalesce(category, F.lit(""))))
-    blocked, unclear = _first_hit(text, C.BLOCKED_KEYWORDS), _first_hit(text, C.AMBIGUOUS_KEYWORDS)
+    first = F.regexp_replace(F.substring_index(F.regexp_replace(said, r"(?U)\s+", " "), " ", 1), r"[.,;:]+$", "")
+    blocked, unclear = _first_hit(subject, C.BLOCKED_KEYWORDS), _first_hit(subject, C.AMBIGUOUS_KEYWORDS)
 
     def verdict(ok: bool, code: str, word: Column | None, review: bool) -> Column:
         return F.struct(F.lit(ok).alias("reclaimable"), F.lit(code).alias("reason_code"),
                         (F.lit(None).cast("string") if word is None else word).alias("keyword"),
                         F.lit(review).alias("needs_review"))
 
-    raw = strip(stated)
     return (
         F.when((said != "") & first.isin(*C.STATED_YES), verdict(True, "stated", raw, False))
         .when((said != "") & (first.isin(*C.STATED_NO) | said.contains("n/a") | said.contains("exempt")),
@@ -82,7 +89,7 @@ def expected_vat(amount: Column, own_rate: Column, default: Column) -> Column:
     source's default rate and zero."""
     of = lambda rate: M.round_currency(amount * rate)
     return F.when(amount.isNull(), F.lit(None)).when(own_rate.isNotNull(), F.array(of(own_rate))).otherwise(
-        F.array_sort(F.array_distinct(F.array(of(default), of(M.dec("0.00").cast("decimal(5,4)"))))))
+        F.sort_array(F.array_distinct(F.array(of(default), of(M.dec("0.00").cast("decimal(5,4)"))))))
 
 
 def select_sources(meta: DataFrame, mapping: DataFrame | None = None, default_rates: DataFrame | None = None) -> DataFrame:
@@ -107,11 +114,14 @@ def register_lines(rows: DataFrame, sources: DataFrame) -> DataFrame:
     used = sources.filter(F.col("columns.vat").isNotNull()).select(
         "source_id", "source_order", "role", "columns", "default_rate", "unanswered")
     c = lambda field: cell(F.col(f"columns.{field}"))
-    return rows.join(used, "source_id").select(
-        "source_id", "source_order", "row_index", "role", "default_rate", "unanswered", "columns", "cells",
-        is_total_row(F.col("cells")).alias("is_total"),
-        M.parse_signed(c("vat")).alias("vat_amount"), M.parse_signed(c("amount")).alias("amount"),
-        c("category").alias("category"), c("description").alias("description"), c("reclaimable").alias("stated"))
+    said = F.lower(F.array_join(F.col("cells")["value"], " "))
+    read = rows.join(used, "source_id").select(
+        "source_id", "source_order", "row_index", "role", "default_rate", "unanswered",
+        F.col("columns.amount").isNotNull().alias("has_amount"), is_total_row(F.col("cells")).alias("is_total"),
+        said.contains("reclaimable").alias("says_reclaimable"), c("vat").alias("vat"), c("amount").alias("base"),
+        c("category").alias("category"), c("description").alias("description"), c("reclaimable").alias("stated"),
+        row_label(F.col("cells"), c("description")).alias("label"))
+    return read.withColumns({"vat_amount": M.parse_signed(F.col("vat")), "amount": M.parse_signed(F.col("base"))}).drop("vat", "base")
 
 
 def usable_categories(lines: DataFrame) -> DataFrame:
@@ -122,19 +132,22 @@ def usable_categories(lines: DataFrame) -> DataFrame:
 
 def _checked(lines: DataFrame) -> DataFrame:
     own = F.when(F.col("usable"), M.category_rate(F.col("category")))
-    with_rate = lines.join(usable_categories(lines), "source_id").withColumn("own_rate", own)
-    has_amount = F.col("columns.amount").isNotNull() & F.col("amount").isNotNull()
+    with_rate = lines.join(usable_categories(lines), "source_id").withColumns({
+        "own_rate": own, "said": stated_text(F.col("stated")), "subject": subject_text(F.col("description"), F.col("category"))})
+    has_amount = F.col("has_amount") & F.col("amount").isNotNull()
     expected = F.when(has_amount, expected_vat(F.col("amount"), F.col("own_rate"), F.col("default_rate")))
-    verdict = reclaimability(F.col("stated"), F.col("description"), F.col("category"))
+    verdict = reclaimability(F.col("said"), F.col("subject"), F.col("stated"))
     data = with_rate.filter(~F.col("is_total") & F.col("vat_amount").isNotNull())
     return data.select(
         "source_id", "source_order", "row_index", "role", "vat_amount", "amount", "category", "own_rate",
-        row_label(F.col("cells"), F.col("description")).alias("label"), expected.alias("expected"),
+        "label", expected.alias("expected"),
         (has_amount & F.col("own_rate").isNull() & F.col("unanswered")).alias("default_used"),
         F.when(F.col("role") == "purchases", verdict).alias("verdict"),
         F.concat_ws("_", F.lit("pr"), "source_id", F.col("row_index").cast("string")).alias("item_id"),
     ).withColumn("vat_mismatch", F.coalesce(
-        ~F.exists("expected", lambda e: F.abs(e - F.col("vat_amount")) <= M.dec(C.REGISTER_TOLERANCE)), F.lit(False)))
+        # One or two expected amounts; the second, if any, is the last.
+        (F.abs(F.get("expected", 0) - F.col("vat_amount")) > M.dec(C.REGISTER_TOLERANCE))
+        & (F.abs(F.get("expected", F.size("expected") - 1) - F.col("vat_amount")) > M.dec(C.REGISTER_TOLERANCE)), F.lit(False)))
 
 
 def _headline(lines: DataFrame) -> DataFrame:
@@ -158,9 +171,8 @@ def _total_issues(all_lines: DataFrame, checked: DataFrame) -> DataFrame:
     sums = checked.groupBy("source_id").agg(
         F.sum("vat_amount").cast(VAT).alias("row_sum"),
         F.coalesce(F.sum(F.when(counted, F.col("vat_amount"))), F.lit(0)).cast(VAT).alias("reclaimable_sum"))
-    said = F.lower(F.array_join(F.transform("cells", lambda c: c["value"]), " "))
     totals = all_lines.filter(F.col("is_total") & F.col("vat_amount").isNotNull()).withColumn(
-        "of_reclaimable", (F.col("role") == "purchases") & said.contains("reclaimable")).join(sums, "source_id", "left")
+        "of_reclaimable", (F.col("role") == "purchases") & F.col("says_reclaimable")).join(sums, "source_id", "left")
     zero = F.lit(0).cast(VAT)
     computed = F.when(F.col("of_reclaimable"), F.coalesce("reclaimable_sum", zero)).otherwise(F.coalesce("row_sum", zero))
     return totals.withColumn("computed", computed).filter(
@@ -173,8 +185,9 @@ def _total_issues(all_lines: DataFrame, checked: DataFrame) -> DataFrame:
 def period_return(rows: DataFrame, meta: DataFrame, mapping: DataFrame | None = None,
                   default_rates: DataFrame | None = None) -> PeriodReturn:
     """Headline, lines with reclaimability, and consistency issues of the confirmed sources."""
-    sources = select_sources(meta, mapping, default_rates)
-    all_lines = register_lines(rows, sources)
+    # Stored once: source rows so that joins see their true (small) size, lines so that cells are read once.
+    sources = settle(select_sources(meta, mapping, default_rates), "sources")
+    all_lines = settle(register_lines(rows, sources), "register_lines")
     checked = _checked(all_lines).select("*", "verdict.*").drop("verdict")
 
     none = F.lit(None).cast("bigint")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _test_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "taxloom",
@@ -27,6 +30,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    prepare(spark)
     return spark
 
 
@@ -41,6 +45,35 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, for the few Python functions that run
+    there. Not needed where the package is installed on the workers."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="taxloom-"), "taxloom.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join("taxloom", os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Readies a given session for this package's jobs.
+
+    The JVM never compiles a method above 8000 bytes; Spark's own limit for generated code is far above,
+    so wide projections would run interpreted. With the limit at 8000 Spark splits them instead.
+    """
+    ship_package(spark)
+    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) > 8000:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

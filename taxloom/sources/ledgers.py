@@ -8,7 +8,7 @@ from taxloom.functions.dates import ledger_date
 from taxloom.functions.money import AMOUNT, parse_absolute, row_amount
 from taxloom.functions.text import strip
 from taxloom.operators.period import number_in_order
-from taxloom.sources.columns import cell
+from taxloom.sources.columns import LEDGER_FIELDS, cell
 from taxloom.sources.registers import usable_ledger_tables
 
 
@@ -29,18 +29,19 @@ def rows_from_tables(rows: DataFrame, meta: DataFrame, side: str, many_sources:
         tables = first_usable_table(meta)
     else:
         tables = usable_ledger_tables(meta)
-    c = lambda field: cell(F.col(f"columns.{field}"))
     text = lambda v: F.when(v != "", strip(v))
-    amount = row_amount(parse_absolute(c("debit")), parse_absolute(c("credit")), parse_absolute(c("amount")))
     joined = rows.join(tables.select("source_id", "columns", *(["source_order"] if many_sources else [])), "source_id")
     joined = number_in_order(joined, "number") if many_sources else joined.withColumn("number", F.col("row_index"))
-    return joined.select(
+    read = joined.select(  # cell texts once, as plain columns
+        "source_id", "number", F.col("cells").alias("raw"),
+        *[cell(F.col(f"columns.{f}")).alias(f"_{f}") for f in LEDGER_FIELDS])
+    amount = row_amount(parse_absolute(F.col("_debit")), parse_absolute(F.col("_credit")), parse_absolute(F.col("_amount")))
+    return read.select(
         F.concat_ws("_", F.lit(side), F.col("number").cast("string")).alias("row_id"),
         F.col("number").cast("bigint").alias("ordinal"), F.lit(side).alias("source"),
-        F.nullif(text(c("reference")), F.lit("nan")).alias("reference"),
-        ledger_date(c("date")).alias("date"), amount.cast(AMOUNT).alias("amount"),
-        text(c("description")).alias("description"), "source_id",
-        F.col("cells").alias("raw"),
+        F.nullif(text(F.col("_reference")), F.lit("nan")).alias("reference"),
+        ledger_date(F.col("_date")).alias("date"), amount.cast(AMOUNT).alias("amount"),
+        text(F.col("_description")).alias("description"), "source_id", "raw",
     ).filter(F.col("amount").isNotNull())
 
 
