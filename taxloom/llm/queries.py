@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taxloom.llm import chat, quality, urls
+from taxloom.llm import chat, decontaminate, quality, urls
 from taxloom.session import settle
 
 #: Rules that op10 applies: action, host, path.
@@ -54,6 +54,37 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(measured, cutoffs).select("doc_id", *quality.BASE, "base_failed", "kept", *quality.RULES)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.mark_hits(documents, _table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP4_SQL = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS MATERIALIZED (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item, least(len(w), 13) AS size, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS phrase
+  FROM items, range(1, greatest(len(w) - 12, 1) + 1) AS r(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+spans AS MATERIALIZED (
+  SELECT row, size, i, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM docs, sizes, range(1, len(w) - size + 2) AS r(i)),
+hits AS MATERIALIZED (SELECT row, s.size, i, item FROM spans s JOIN windows v ON s.phrase = v.phrase AND s.size = v.size),
+places AS (SELECT row, count(DISTINCT i + k) AS n_hit FROM hits, range(0, size) AS r(k) GROUP BY row),
+found AS (SELECT row, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest
+          FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN places USING (row) LEFT JOIN found USING (row)
+"""
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.train(urls.labelled_urls(spark))
     judged = urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, model)
@@ -63,6 +94,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_quality_rules": op3_quality_rules,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op10_url_filters": op10_url_filters,
 }
-ORACLE: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
+ORACLE: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL}
