@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taxloom.llm import chat, decontaminate, quality, urls
+from taxloom.llm import chat, decontaminate, mixture, quality, urls
 from taxloom.session import settle
 
 #: Rules that op10 applies: action, host, path.
@@ -85,6 +85,11 @@ FROM docs LEFT JOIN places USING (row) LEFT JOIN found USING (row)
 """
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixture.taken_words(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.train(urls.labelled_urls(spark))
     judged = urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, model)
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_source_mixing": op5_source_mixing,
     "op10_url_filters": op10_url_filters,
 }
 ORACLE: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL}
