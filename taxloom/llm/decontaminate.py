@@ -16,14 +16,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from taxloom.llm.sizes import if_small
 from taxloom.session import settle
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW_WORDS = 13
 ANCHORS = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A table of at most this many bytes as measured by Spark is broadcast; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 8 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -34,15 +33,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, NOT_WORD), "")
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """The size that Spark knows for a table that was written and read back."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def if_small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES else df
-
-
 def windows_of(benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     """One row per distinct window: ``window_id, words, phrase, items`` (item ids as strings)."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("w"))

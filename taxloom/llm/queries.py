@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taxloom.llm import chat, decontaminate, mixture, quality, urls
+from taxloom.llm import chat, credentials, decontaminate, mixture, quality, urls
 from taxloom.session import settle
 
 #: Rules that op10 applies: action, host, path.
@@ -90,6 +90,13 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda p: p["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in credentials.STRONG], F.sha2(credentials.told(F.col("base")), 256).alias("base_sha256"),
+                        credentials.told(F.col("spans")).alias("spans"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.train(urls.labelled_urls(spark))
     judged = urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, model)
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_source_mixing": op5_source_mixing,
+    "op9_secret_scans": op9_secret_scans,
     "op10_url_filters": op10_url_filters,
 }
 ORACLE: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL}
