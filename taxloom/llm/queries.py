@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taxloom.llm import chat, credentials, decontaminate, mixture, quality, urls
+from taxloom.llm import chat, credentials, decontaminate, jaccard, mixture, quality, urls
 from taxloom.session import settle
 
 #: Rules that op10 applies: action, host, path.
@@ -47,6 +47,10 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "lang", *quality.BASE, "base_failed", *quality.RULES]
     measured = settle(quality.measure(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select(columns), "quality")
@@ -105,6 +109,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_source_mixing": op5_source_mixing,
