@@ -152,7 +152,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     dealt = leaves.select("number", "shard", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("quota") - 1)).alias("rank"))
     whole = plan.select("number", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).select(
         "number", "block", F.pmod(F.col("block") * step + shift, F.col("blocks")).alias("rank"))
-    where = whole.join(dealt, ["number", "rank"]).select("number", "block", "shard")
+    # Both sides grow out of small tables, so Spark's estimate of their sizes is far too low: no broadcast here, and the result is stored.
+    where = settle(whole.hint("merge").join(dealt.hint("merge"), ["number", "rank"]).select("number", "block", "shard"), "deal")
     lines = on_lines(rows.where("size > 0"), max(1, facts["n"] // SLICE_ROWS))
     named = plan.select(F.col("source").alias("__s"), "number", "source_size", "takes")
     lines = lines.join(named, lines["source"].eqNullSafe(F.col("__s")))

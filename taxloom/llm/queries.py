@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taxloom.llm import chat, credentials, decontaminate, jaccard, mixture, quality, urls
+from taxloom.llm import chat, credentials, decontaminate, jaccard, mixture, quality, tokens, urls
 from taxloom.session import settle
 
 #: Rules that op10 applies: action, host, path.
@@ -94,6 +94,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = credentials.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda p: p["kind"] == kind)).cast("long")
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_source_mixing": op5_source_mixing,
+    "op7_token_counts": op7_token_counts,
     "op9_secret_scans": op9_secret_scans,
     "op10_url_filters": op10_url_filters,
 }
