@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taxloom.llm.sizes import BROADCAST_BYTES, stored_bytes
@@ -69,14 +70,15 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
 def scan(documents: DataFrame) -> DataFrame:
     """``row, doc_id, text_hash, parts`` for every document row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [[{"kind": k, "start": a, "end": b} for k, a, b in spans_of(t)] if t else [] for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "parts": parts})
+            parts = [[{"kind": k, "start": a, "end": b} for k, a, b in spans_of(t)] if t else [] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(parts, kind)], ["doc_id", "text_hash", "parts"])
 
-    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(
-        run, f"doc_id bigint, text_hash bigint, parts {SPANS}")
-    return found.withColumn("row", F.monotonically_increasing_id())
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return texts.mapInArrow(run, f"doc_id bigint, text_hash bigint, parts {SPANS}").withColumn("row", F.monotonically_increasing_id())
 
 
 def _role(kind: Column) -> Column:
@@ -135,12 +137,12 @@ def redact(documents: DataFrame) -> DataFrame:
     Documents are joined to their spans by id and a hash of the text; only documents with a span have a row there.
     """
     spans = settle(find_secrets(documents).where(F.size("spans") > 0).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), "spans").dropDuplicates(["__id", "__text"]), "spans")
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__text"]), "spans")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text"))
     small = stored_bytes(spans) <= BROADCAST_BYTES
     joined = documents.join(F.broadcast(spans) if small else spans, same, "left")
-    dirty = F.col("spans").isNotNull()
-    clean = joined.withColumn("text", F.when(dirty, F.pandas_udf(_cut, "string")(F.when(dirty, F.col("text")).otherwise(""), F.coalesce("spans", F.array().cast(SPANS)))).otherwise(F.col("text")))
+    dirty = F.col("__spans").isNotNull()
+    clean = joined.withColumn("text", F.when(dirty, F.pandas_udf(_cut, "string")(F.when(dirty, F.col("text")).otherwise(""), F.coalesce("__spans", F.array().cast(SPANS)))).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         clean = clean.withColumn("n_chars", F.when(dirty, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return clean.select(*documents.columns)
