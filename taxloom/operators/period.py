@@ -16,7 +16,7 @@ from taxloom.functions import money as M
 from taxloom.functions.labels import label
 from taxloom.functions.text import strip
 from taxloom.session import settle
-from taxloom.sources.columns import cell
+from taxloom.sources.columns import REGISTER_FIELDS, cell_at, place_of
 
 VAT = "decimal(38,6)"
 
@@ -112,8 +112,9 @@ def select_sources(meta: DataFrame, mapping: DataFrame | None = None, default_ra
 def register_lines(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows of taking-part sources with a VAT column: values read, total rows marked."""
     used = sources.filter(F.col("columns.vat").isNotNull()).select(
-        "source_id", "source_order", "role", "columns", "default_rate", "unanswered")
-    c = lambda field: cell(F.col(f"columns.{field}"))
+        "source_id", "source_order", "role", "columns", "default_rate", "unanswered",
+        *[place_of(F.col(f"columns.{f}")).alias(f"place_{f}") for f in REGISTER_FIELDS])
+    c = lambda field: cell_at(F.col(f"columns.{field}"), F.col(f"place_{field}"))
     said = F.lower(F.array_join(F.col("cells")["value"], " "))
     read = rows.join(used, "source_id").select(
         "source_id", "source_order", "row_index", "role", "default_rate", "unanswered",
@@ -132,7 +133,8 @@ def usable_categories(lines: DataFrame) -> DataFrame:
 
 def _checked(lines: DataFrame) -> DataFrame:
     own = F.when(F.col("usable"), M.category_rate(F.col("category")))
-    with_rate = lines.join(usable_categories(lines), "source_id").withColumns({
+    # One row per source: stored, so that its true size decides how it is joined.
+    with_rate = lines.join(settle(usable_categories(lines), "usable"), "source_id").withColumns({
         "own_rate": own, "said": stated_text(F.col("stated")), "subject": subject_text(F.col("description"), F.col("category"))})
     has_amount = F.col("has_amount") & F.col("amount").isNotNull()
     expected = F.when(has_amount, expected_vat(F.col("amount"), F.col("own_rate"), F.col("default_rate")))

@@ -8,9 +8,6 @@ from taxloom.functions import money as M
 from taxloom.functions.labels import label
 from taxloom.operators.review import confirmed
 
-# A report cell lists this many candidates; longer lists stay in the candidates table, which is whole.
-CELL_CANDIDATES = 50
-
 
 def control_totals(matched: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
     """One row: matched amount per side, and grand total per side over distinct rows."""
@@ -68,20 +65,14 @@ def group_total(rows: Column) -> Column:
 
 
 def candidate_text(candidates: DataFrame) -> DataFrame:
-    """Per choice: the candidates' texts in input order and the first one's amount.
+    """Per choice: the texts of all its candidates in input order, and the first one's amount.
 
-    Lists longer than a report cell are counted, not collected; they are read from the candidates
-    table, which always holds all of them.
+    A choice is a list that many items may share; its text is made once and joined to them by ``choice_id``.
     """
-    sizes = candidates.groupBy("choice_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("candidate.amount", "candidate.ordinal").alias("candidate_amount"))
-    short = candidates.join(sizes.filter(F.col("n") <= CELL_CANDIDATES).select("choice_id"), "choice_id", "left_semi")
-    texts = short.groupBy("choice_id").agg(
+    listed = candidates.groupBy("choice_id").agg(
+        F.min_by("candidate.amount", "candidate.ordinal").alias("candidate_amount"),
         F.array_sort(F.collect_list(F.struct("candidate.ordinal", row_text(F.col("candidate")).alias("t")))).alias("l"))
-    return sizes.join(texts, "choice_id", "left").select(
-        "choice_id", "candidate_amount",
-        F.coalesce(F.array_join(F.transform("l", lambda x: x["t"]), "; "),
-                   F.concat(F.col("n").cast("string"), F.lit(" candidates, see the candidates table"))).alias("candidates"))
+    return listed.select("choice_id", "candidate_amount", F.array_join(F.transform("l", lambda x: x["t"]), "; ").alias("candidates"))
 
 
 def exception_rows(items: DataFrame, candidates: DataFrame, lang: str = "en") -> DataFrame:

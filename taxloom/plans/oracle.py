@@ -95,15 +95,15 @@ p1g AS (SELECT *, NOT agrees AND least(amt_a, amt_b) > 0 AND abs(greatest(amt_a,
   <= 0.005 * least(amt_a, amt_b) AS possible_vat_gap FROM p1)
 """
 PASS2 = """
-la AS (SELECT * FROM ledger WHERE row_id NOT IN (SELECT row_a FROM p1)),
-lb AS (SELECT * FROM statement WHERE row_id NOT IN (SELECT row_b FROM p1)),
+la AS (SELECT * FROM ledger WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE p1.row_a = ledger.row_id)),
+lb AS (SELECT * FROM statement WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE p1.row_b = statement.row_id)),
 va AS (SELECT amount, min(row_id) AS row_id FROM la GROUP BY amount HAVING count(*) = 1),
 vb AS (SELECT amount, min(row_id) AS row_id FROM lb GROUP BY amount HAVING count(*) = 1),
 p2 AS (SELECT va.row_id AS row_a, vb.row_id AS row_b, amount FROM va JOIN vb USING (amount))
 """
 PASS3 = """
-ma AS (SELECT * FROM la WHERE row_id NOT IN (SELECT row_a FROM p2)),
-mb AS (SELECT * FROM lb WHERE row_id NOT IN (SELECT row_b FROM p2)),
+ma AS (SELECT * FROM la WHERE NOT EXISTS (SELECT 1 FROM p2 WHERE p2.row_a = la.row_id)),
+mb AS (SELECT * FROM lb WHERE NOT EXISTS (SELECT 1 FROM p2 WHERE p2.row_b = lb.row_id)),
 seek AS (SELECT ma.*, amount + d.x AS want FROM ma, (VALUES (-0.01), (0.00), (0.01)) d(x)),
 cand AS (SELECT s.row_id AS row_a, mb.row_id AS row_b, mb.ordinal AS ord_b FROM seek s JOIN mb ON mb.amount = s.want
   WHERE abs(datediff('day', s.date, mb.date)) <= 3),
@@ -116,7 +116,7 @@ items AS (
   UNION ALL SELECT 'review_' || ma.row_id, CASE WHEN p.row_a IS NULL THEN 'unmatched' WHEN p.n_candidates = 1 AND p.n_wanting = 1 THEN 'fuzzy_match'
       ELSE 'ambiguous' END, coalesce(p.n_candidates, 0), ma.row_id,
       CASE WHEN p.n_candidates = 1 AND p.n_wanting = 1 THEN p.pick END, false, p.pick FROM ma LEFT JOIN per_a p ON p.row_a = ma.row_id
-  UNION ALL SELECT 'review_' || row_id, 'unmatched', 0, NULL, row_id, false, NULL FROM mb WHERE row_id NOT IN (SELECT row_b FROM cand)),
+  UNION ALL SELECT 'review_' || row_id, 'unmatched', 0, NULL, row_id, false, NULL FROM mb WHERE NOT EXISTS (SELECT 1 FROM cand WHERE cand.row_b = mb.row_id)),
 numbered AS (SELECT i.*, coalesce(a.ordinal // 2, b.ordinal // 4) AS n, a.ordinal AS ord_a FROM items i LEFT JOIN ledger a ON a.row_id = i.row_a
   LEFT JOIN statement b ON b.row_id = i.row_b),
 reviewed AS (SELECT *, CASE n % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'dismissed' END AS decision,
@@ -306,9 +306,9 @@ touched AS (SELECT row_a AS row_id FROM reviewed WHERE coalesce(decision, '') <>
   UNION SELECT row_b FROM reviewed WHERE coalesce(decision, '') <> 'confirmed' AND row_b IS NOT NULL
   UNION SELECT c.row_b FROM reviewed r JOIN cand c ON c.row_a = r.row_a WHERE r.kind = 'ambiguous'),
 both_sides AS (SELECT row_id, 'a' AS source, amount FROM ledger UNION ALL SELECT row_id, 'b', amount FROM statement)
-SELECT row_id, source, CAST(amount AS DOUBLE) AS amount FROM touched JOIN both_sides USING (row_id) WHERE row_id NOT IN (SELECT row_id FROM settled)""",
+SELECT row_id, source, CAST(amount AS DOUBLE) AS amount FROM touched JOIN both_sides USING (row_id) ANTI JOIN settled USING (row_id)""",
     "stale_items": _with(*RECON) + """
-SELECT item_id, kind, decision FROM reviewed WHERE kind <> 'unmatched' OR coalesce(row_a, row_b) NOT IN (SELECT row_id FROM settled)""",
+SELECT item_id, kind, decision FROM reviewed r WHERE kind <> 'unmatched' OR NOT EXISTS (SELECT 1 FROM settled WHERE settled.row_id = coalesce(r.row_a, r.row_b))""",
     "double_claims": _with(*RECON) + """
 SELECT selected AS candidate_id, item_id, n_claims FROM (SELECT *, count(*) OVER (PARTITION BY selected) AS n_claims FROM reviewed WHERE selected IS NOT NULL) WHERE n_claims > 1""",
     "invalid_selections": _with(*RECON) + """

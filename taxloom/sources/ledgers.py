@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from taxloom.functions.dates import ledger_date
 from taxloom.functions.money import AMOUNT, parse_absolute, row_amount
 from taxloom.functions.text import strip
-from taxloom.operators.period import number_in_order
-from taxloom.sources.columns import LEDGER_FIELDS, cell
+from taxloom.sources.columns import LEDGER_FIELDS, cell_at, place_of
 from taxloom.sources.registers import usable_ledger_tables
 
 
@@ -19,22 +18,29 @@ def first_usable_table(meta: DataFrame) -> DataFrame:
     return usable.join(first, ["document_id", "table_index"], "left_semi")
 
 
-def rows_from_tables(rows: DataFrame, meta: DataFrame, side: str, many_sources: bool = False) -> DataFrame:
+def unusable_documents(meta: DataFrame) -> DataFrame:
+    """Documents none of whose tables has amounts, with the reason."""
+    key = "document_id" if "document_id" in meta.columns else "source_id"
+    return meta.select(key).distinct().join(usable_ledger_tables(meta).select(key).distinct(), key, "left_anti").withColumn(
+        "reason", F.lit("no table with an amount, debit or credit column"))
+
+
+def rows_from_tables(rows: DataFrame, meta: DataFrame, side: str) -> DataFrame:
     """Rows of the usable tables; a row without a readable amount is dropped, its index stays used.
 
-    With ``many_sources`` a side made of several files is numbered through, in source order, so that ids
-    stay unique over the side.
+    A side made of several files is numbered through in source order (``source_order``, else the source's name), so ids and
+    ordinals are unique over the side. What has no usable table is named by ``unusable_documents``.
     """
-    if "document_id" in meta.columns:
-        tables = first_usable_table(meta)
-    else:
-        tables = usable_ledger_tables(meta)
+    tables = first_usable_table(meta) if "document_id" in meta.columns else usable_ledger_tables(meta)
+    order = F.col("source_order") if "source_order" in meta.columns else F.col("source_id")
+    sizes = rows.groupBy("source_id").agg((F.max("row_index") + 1).alias("rows")).join(tables, "source_id")
+    before = Window.orderBy(order, "source_id").rowsBetween(Window.unboundedPreceding, -1)  # one row per source
+    tables = sizes.select("source_id", "columns", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"),
+                          *[place_of(F.col(f"columns.{f}")).alias(f"place_{f}") for f in LEDGER_FIELDS])
     text = lambda v: F.when(v != "", strip(v))
-    joined = rows.join(tables.select("source_id", "columns", *(["source_order"] if many_sources else [])), "source_id")
-    joined = number_in_order(joined, "number") if many_sources else joined.withColumn("number", F.col("row_index"))
-    read = joined.select(  # cell texts once, as plain columns
-        "source_id", "number", F.col("cells").alias("raw"),
-        *[cell(F.col(f"columns.{f}")).alias(f"_{f}") for f in LEDGER_FIELDS])
+    read = rows.join(tables, "source_id").select(  # cell texts once, as plain columns
+        "source_id", (F.col("row_index") + F.col("offset")).alias("number"), F.col("cells").alias("raw"),
+        *[cell_at(F.col(f"columns.{f}"), F.col(f"place_{f}")).alias(f"_{f}") for f in LEDGER_FIELDS])
     amount = row_amount(parse_absolute(F.col("_debit")), parse_absolute(F.col("_credit")), parse_absolute(F.col("_amount")))
     return read.select(
         F.concat_ws("_", F.lit(side), F.col("number").cast("string")).alias("row_id"),
@@ -51,12 +57,22 @@ def column_mapping(meta: DataFrame) -> DataFrame:
 
 
 def rows_from_invoices(documents: DataFrame, side: str) -> DataFrame:
-    """Rows from line items (``filename, issue_date, line_items``): id, issue date, absolute base."""
-    lines = documents.select("filename", "issue_date", F.posexplode("line_items").alias("pos", "li"))
+    """Rows from line items (``filename, issue_date, line_items``): id, issue date, absolute base.
+
+    The lines of several files are numbered through in the order of the file names. The ids of the first file are its line ids;
+    those of later files start with the file's number, so that equal line ids of two invoices stay apart.
+    """
+    before = Window.orderBy("filename").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    files = documents.groupBy("filename").agg(F.max(F.size("line_items")).alias("lines")).select(
+        "filename", (F.row_number().over(Window.orderBy("filename")) - 1).alias("file_number"),
+        F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("offset"))
+    lines = documents.select("filename", "issue_date", F.posexplode("line_items").alias("pos", "li")).join(files, "filename")
     line_id = F.col("li.line_id")
+    own = F.coalesce(line_id, F.col("pos").cast("string"))
+    named = F.when(F.col("file_number") == 0, own).otherwise(F.concat_ws(":", F.col("file_number").cast("string"), own))
     return lines.select(
-        F.concat_ws("_", F.lit(side), F.coalesce(line_id, F.col("pos").cast("string"))).alias("row_id"),
-        F.col("pos").cast("bigint").alias("ordinal"), F.lit(side).alias("source"),
+        F.concat_ws("_", F.lit(side), named).alias("row_id"),
+        (F.col("pos") + F.col("offset")).cast("bigint").alias("ordinal"), F.lit(side).alias("source"),
         F.nullif(line_id, F.lit("")).alias("reference"), ledger_date(F.col("issue_date")).alias("date"),
         parse_absolute(F.col("li.taxable_base").cast("string")).alias("amount"),
         F.col("li.description").alias("description"), F.col("filename").alias("source_id"),

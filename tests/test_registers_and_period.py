@@ -61,10 +61,33 @@ def test_rows_without_a_rate(spark, tmp_path):
     assert period.period_return(rows, meta, no_vat).headline.first().sales_row_count == 0
 
 
-def test_column_resolution():
-    assert columns.ledger_columns(["Doc No.", "Posting Date", "Address", "Cr", "Narration"]) == {
+def test_column_resolution(spark):
+    cases = [["Doc No.", "Posting Date", "Address", "Cr", "Narration"], ["Total ", "AMOUNT", "Ref"], ["Amount", "amount.", "the ref no x"], [], None]
+    got = columns.with_ledger_columns(spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, column_names array<string>")).orderBy("i").collect()
+    assert got[0]["columns"].asDict() == {
         "reference": "Doc No.", "date": "Posting Date", "amount": None, "debit": None, "credit": "Cr", "description": "Narration"}
-    assert columns.register_columns(["VAT Amount", "Net Amount (SAR)", "Vendor"])["amount"] == "VAT Amount"
+    assert got[1]["columns"]["amount"] == "AMOUNT"  # the first synonym counts, not the first header
+    assert got[2]["columns"]["amount"] == "amount." and got[2]["columns"]["reference"] == "the ref no x"  # of equal headers the last
+    assert set(got[3]["columns"].asDict().values()) == set(got[4]["columns"].asDict().values()) == {None}
+    one = spark.createDataFrame([(["VAT Amount", "Net Amount (SAR)", "Vendor"],)], "column_names array<string>")
+    found = columns.with_register_columns(one).first()["columns"]
+    assert found["amount"] == "VAT Amount" and found["description"] == "Vendor"
+
+
+def test_several_files_on_one_side(spark, tmp_path):
+    for name in ("p.csv", "q.csv"):
+        (tmp_path / name).write_text("Doc No,Posting Date,Debit,Credit\nA1,05/06/2026,0,12.50\nA2,2026-06-05,1,\n")
+    (tmp_path / "r.csv").write_text("Name,City\nx,y\n")
+    rows, meta = registers.read_registers(spark, str(tmp_path))
+    got = ledgers.rows_from_tables(rows, meta, "a").collect()
+    assert sorted((r.row_id, r.ordinal) for r in got) == [("a_0", 0), ("a_1", 1), ("a_2", 2), ("a_3", 3)]
+    assert [r.source_id[-5:] for r in ledgers.unusable_documents(meta).collect()] == ["r.csv"]
+    line = [("L1", "x", "10", "S", None), (None, "y", "5", "S", None)]
+    docs = spark.createDataFrame([("i2", "2026-01-02", line), ("i1", "2026-01-01", line)],
+                                 "filename string, issue_date string, line_items array<struct<line_id string, description string, taxable_base string, "
+                                 "tax_category_code string, vat_amount string>>")
+    got = sorted((r.ordinal, r.row_id) for r in ledgers.rows_from_invoices(docs, "b").collect())
+    assert got == [(0, "b_L1"), (1, "b_1"), (2, "b_1:L1"), (3, "b_1:1")]
 
 
 def test_ledger_rows_from_file(spark, tmp_path):
