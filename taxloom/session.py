@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_ROWS = 1000
+
 _test_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -68,10 +70,13 @@ def prepare(spark: SparkSession) -> None:
 
     The JVM never compiles a method above 8000 bytes; Spark's own limit for generated code is far above,
     so wide projections would run interpreted. With the limit at 8000 Spark splits them instead.
+    Rows sent to Python workers hold whole documents, so they go in smaller batches than Spark's 10,000 rows.
     """
     ship_package(spark)
     if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) > 8000:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def settle(df: DataFrame, name: str = "stage") -> DataFrame:
