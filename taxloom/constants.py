@@ -111,3 +111,8 @@ CSV_MISSING = (
 # --- Fixed values: block-level tags of the HTML text job ---------------------------------------
 HTML_BLOCK_TAGS = ("p", "li", "tr", "h2", "h3", "h4")
 HTML_CELL_TAGS = ("th", "td")
+HTML_SILENT_TAGS = ("script", "style")
+HTML_VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+HTML_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "\u00a9", "reg": "\u00ae", "middot": "\u00b7",
+                 "hellip": "\u2026", "ndash": "\u2013", "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d",
+                 "euro": "\u20ac", "times": "\u00d7", "sect": "\u00a7", "amp": "&"}

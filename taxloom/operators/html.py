@@ -1,53 +1,67 @@
-"""HTML pages to block text."""
+"""HTML pages to block text, as expressions: a new line at every block, a bar at every cell, single spaces elsewhere."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taxloom import constants as C
 
-
-class _BlockText(HTMLParser):
-    """Newline at block tags, a bar at cells; everything under an element of the skipped class is left out."""
-
-    def __init__(self, skip_class: str | None):
-        super().__init__(convert_charrefs=True)
-        self.skip_class, self.depth, self.out = skip_class, 0, []
-
-    def handle_starttag(self, tag, attrs):
-        if self.depth or (self.skip_class and dict(attrs).get("class") == self.skip_class):
-            self.depth += 1
-        elif tag in C.HTML_BLOCK_TAGS:
-            self.out.append("\n")
-        elif tag in C.HTML_CELL_TAGS:
-            self.out.append(" | ")
-
-    def handle_endtag(self, tag):
-        self.depth = max(0, self.depth - 1)
-
-    def handle_data(self, data):
-        if not self.depth and data.strip():
-            self.out.append(data.strip() + " ")
-
-
-def block_text(html: str, skip_class: str | None = None) -> str:
-    parser = _BlockText(skip_class)
-    parser.feed(html)
-    text = re.sub(r"[ \t]+", " ", "".join(parser.out))
-    return re.sub(r"\n\s*\n+", "\n", text).strip()
+TOKENS = r"(?s)<!--.*?(?:-->|\z)|</?[A-Za-z][^>]*>|<|[^<]+"
+
+
+def decoded(text: Column) -> Column:
+    """Numeric and the usual named character references as characters; others stay as they are."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), 0))
+
+    def character(ref: Column) -> Column:
+        hexadecimal = ref.rlike("^&#[xX]")
+        digits = F.regexp_extract(ref, "([0-9A-Fa-f]+);$", 1)
+        number = F.when(hexadecimal, digits).otherwise(F.conv(digits, 10, 16))
+        valid = F.conv(number, 16, 10).cast("bigint").between(1, 0x10FFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+    out = F.aggregate(found, text, lambda t, ref: F.replace(t, ref, character(ref)))
+    for name, value in C.HTML_ENTITIES.items():  # the ampersand comes last, so that nothing is decoded twice
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
+    return out
+
+
+def block_text(html: Column) -> Column:
+    """The text of markup whose unwanted elements are gone."""
+    text = F.regexp_replace(html, r"(?s)<!--.*?(-->|\z)", "")
+    for tag in C.HTML_SILENT_TAGS:
+        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?(</{tag}\s*>|\z)", "")
+    text = F.regexp_replace(text, r"\s*(</?[A-Za-z!][^>]*>)\s*", "$1")
+    text = F.regexp_replace(text, rf"(?i)<({'|'.join(C.HTML_BLOCK_TAGS)})(?=[\s/>])[^>]*>", "\n")
+    text = F.regexp_replace(text, rf"(?i)<({'|'.join(C.HTML_CELL_TAGS)})(?=[\s/>])[^>]*>", " | ")
+    text = decoded(F.regexp_replace(text, r"</?[A-Za-z!][^>]*>", " "))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n\s*\n+", "\n"), r"^\s+|\s+$", "")
+
+
+def without_class(pages: DataFrame, skip_class: str) -> DataFrame:
+    """The pages (``page_id, html``) without the elements of a class, whatever stands inside them.
+
+    Tags become rows. Opening tags of one name and their ends are numbered by depth per name, so the end of an element is the next tag of
+    its name and depth; void tags have no depth. What lies before the furthest end seen so far of a skipped element is dropped.
+    """
+    pages = pages.withColumn("__key", F.xxhash64("page_id", "html"))
+    parts = pages.select("__key", "html").distinct().select("__key", F.posexplode(F.regexp_extract_all("html", F.lit(TOKENS), 0)).alias("pos", "token"))
+    name = F.lower(F.regexp_extract("token", "^</?([A-Za-z][A-Za-z0-9]*)", 1))
+    step = F.when((F.col("name") == "") | F.col("name").isin(*C.HTML_VOID_TAGS), 0).when(F.col("token").startswith("</"), -1).otherwise(1)
+    running = Window.partitionBy("__key", "name").orderBy("pos")
+    tags = parts.withColumn("name", name).withColumn("step", step).where("step <> 0").withColumn("level", F.sum("step").over(running))
+    tags = tags.withColumn("level", F.when(F.col("step") < 0, F.col("level") + 1).otherwise(F.col("level")))
+    follows = F.lead("pos").over(Window.partitionBy("__key", "name", "level").orderBy("pos"))
+    wanted = rf"(?i)\sclass\s*=\s*([\"']?)(?:[^\"'>]*\s)?{skip_class}(?:\s[^\"'>]*)?\1(?=[\s/>])"
+    skipped = tags.withColumn("stop", F.coalesce(follows, F.lit(2**31 - 1))).where((F.col("step") > 0) & F.col("token").rlike(wanted)).select("__key", "pos", "stop")
+    upto = Window.partitionBy("__key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    kept = parts.join(skipped, ["__key", "pos"], "left").withColumn("hidden", F.coalesce(F.max("stop").over(upto) >= F.col("pos"), F.lit(False)))
+    text = kept.where(~F.col("hidden")).groupBy("__key").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "").alias("__html"))
+    return pages.join(text, "__key", "left").withColumn("html", F.when(F.col("html").isNotNull(), F.coalesce("__html", F.lit("")))).drop("__key", "__html")
 
 
 def html_text(pages: DataFrame, skip_class: str | None = None) -> DataFrame:
-    """``page_id, url, html`` to ``page_id, url, text``, batch by batch; only parsing leaves the JVM."""
-
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            text = batch["html"].map(lambda h: block_text(h, skip_class) if h is not None else None)
-            yield batch[["page_id", "url"]].assign(text=text)
-
-    return pages.select("page_id", "url", "html").mapInPandas(convert, "page_id bigint, url string, text string")
+    """``page_id, url, html`` to ``page_id, url, text``; a null page has a null text."""
+    own = pages.select("page_id", "url", "html")
+    return (without_class(own, skip_class) if skip_class else own).select("page_id", "url", block_text(F.col("html")).alias("text"))

@@ -1,11 +1,12 @@
 """The queries in SQL over the same tables, for comparison by value.
 
 Common parts are shared as WITH lists. Left out, because SQL has no short equal: group_matches,
-leftover_sums and reconcile_counts (claims taken in input order) and html_text (an HTML parser).
+leftover_sums and reconcile_counts (claims taken in input order).
 """
 
 from __future__ import annotations
 
+from taxloom import constants as C
 from taxloom.functions.ids import NAMESPACE
 
 
@@ -241,6 +242,21 @@ notes AS (SELECT 'u' || (o_custkey % 20) AS user_id, 'Customer#' || lpad(CAST(o_
 noted AS (SELECT *, '* ' || customer_name || ' | ' || status || ' | ' || notes || ' | ' || created_at AS line FROM notes)
 """
 
+def _html_sql() -> str:
+    """The same replacements, with the character references by name only (the pages hold no numeric ones)."""
+    text = r"regexp_replace(html, '(?s)<!--.*?(-->|\z)', '', 'g')"
+    for tag in C.HTML_SILENT_TAGS:
+        text = rf"regexp_replace({text}, '(?is)<{tag}\b[^>]*>.*?(</{tag}\s*>|\z)', '', 'g')"
+    text = rf"regexp_replace({text}, '\s*(</?[A-Za-z!][^>]*>)\s*', '\1', 'g')"
+    text = rf"regexp_replace({text}, '(?i)<({'|'.join(C.HTML_BLOCK_TAGS)})([\s/][^>]*)?>', chr(10), 'g')"
+    text = rf"regexp_replace({text}, '(?i)<({'|'.join(C.HTML_CELL_TAGS)})([\s/][^>]*)?>', ' | ', 'g')"
+    text = rf"regexp_replace({text}, '</?[A-Za-z!][^>]*>', ' ', 'g')"
+    for name, value in C.HTML_ENTITIES.items():
+        text = f"replace({text}, '&{name};', chr({ord(value)}))"
+    text = rf"regexp_replace(regexp_replace(regexp_replace({text}, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+    return f"SELECT page_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {text} AS t FROM pages)"
+
+
 ORACLE = {
     "invoice_totals": _with(LINES, TOTALS) + """
 SELECT invoice_id, CAST(subtotal AS DOUBLE) AS subtotal, CAST(total_vat AS DOUBLE) AS total_vat, CAST(subtotal + total_vat AS DOUBLE) AS grand_total,
@@ -479,6 +495,7 @@ g AS (SELECT user_id, customer_name, string_agg(props, chr(10) ORDER BY late, ev
   min(ts) FILTER (WHERE NOT late) AS c0, min(ts) AS c1, max(ts) FILTER (WHERE late) AS u1, max(ts) AS u0 FROM e GROUP BY user_id, customer_name)
 SELECT user_id, customer_name, md5(ctx) AS context_md5, 'issue ' || coalesce(new_id, any_id) AS issue_summary, strftime(coalesce(c0, c1), '%Y-%m-%d %H:%M:%S') AS created,
   strftime(coalesce(u1, u0), '%Y-%m-%d %H:%M:%S') AS updated FROM g""",
+    "html_text": _html_sql(),
 }
 
 # A query that continues the WITH list starts with a comma.

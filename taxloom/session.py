@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +16,7 @@ ARROW_ROWS = 1000
 
 _test_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_settled: list[str] = []
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "taxloom",
@@ -37,16 +41,35 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder. Where none is set, a local session gets a temporary folder, removed when the
+    interpreter ends; on a cluster that would lose rows, as each executor would write to its own disk, so it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _test_dirs:
             _test_dirs[app] = tempfile.mkdtemp(prefix="taxloom-")
+            atexit.register(shutil.rmtree, _test_dirs[app], ignore_errors=True)
         folder = _test_dirs[app]
     return folder.rstrip("/")
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end whatever ``settle`` stored inside: ``with scratch(spark): job(...).write.parquet(target)``."""
+    mark = len(_settled)
+    try:
+        yield
+    finally:
+        jvm = spark._jvm
+        for path in _settled[mark:]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _settled[mark:]
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, for the few Python functions that run
     there. Not needed where the package is installed on the workers."""
@@ -84,9 +107,10 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
 
     Cuts the plan between passes of a multi-pass job and survives lost executors. A Parquet table is
     used rather than an RDD checkpoint so that later passes still prune columns and see real sizes
-    (which lets Spark choose broadcast joins by measured size).
+    (which lets Spark choose broadcast joins by measured size). ``scratch`` deletes what a job stored.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _settled.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

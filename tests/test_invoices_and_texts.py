@@ -73,5 +73,10 @@ def test_ids_markup_names(spark):
     assert one.select(text.strip_latex(F.lit(tex))).first()[0] == "VAT = (15/100) x Price"
     said = one.select(*[text.stated_name(F.lit(t)) for t in ("my name is Sara Ali please", "call me a b c d", "اسمي سارة.", "hello")]).first()
     assert tuple(said) == ("Sara Ali", None, "سارة", None)
-    page = '<h2>T</h2><p>a <b>b</b></p><a class="skip">x<i>y</i></a><table><tr><td>1</td><td>2</td></tr></table>'
-    assert html.block_text(page, "skip") == "T \na b \n | 1 | 2"
+    pages = [(1, "u", '<h2>T</h2><p>a <b>b</b></p><a class="skip">x<i>y</i></a><table><tr><td>1</td><td>2</td></tr></table>'),
+             (2, "u", '<a class="x skip">x<br>y<a>n</a>m</a><p>b</p>'), (3, "u", "<style>p{}</style>q<script>var t='<p>';</script> &amp;lt; &#233;&#x20AC; 1 < 2"),
+             (4, None, None), (5, "u", ""), (5, "u", ""), (6, "u", '<div class="skip">never closed <p>z'), (7, "u", "<p>one\n two</p>\n\n<p class='skipper'>three")]
+    got = html.html_text(spark.createDataFrame(pages, "page_id long, url string, html string"), "skip").collect()
+    assert sorted((r.page_id, r.text) for r in got if r.page_id != 4) == [
+        (1, "T \na b \n | 1 | 2"), (2, "b"), (3, "q &lt; é€ 1 < 2"), (5, ""), (5, ""), (6, ""), (7, "one\n two \nthree")]
+    assert [r.text for r in got if r.page_id == 4] == [None]
