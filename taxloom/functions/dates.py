@@ -11,7 +11,9 @@ _FORMATS = (
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"), (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
     (r"^\d{8}$", "yyyyMMdd"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"), (r"^[A-Za-z]{4,} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"), (r"^[A-Za-z]{4,} \d{1,2} \d{4}$", "MMMM d yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yy"), (r"^\d{1,2}-\d{1,2}-\d{2}$", "d-M-yy"), (r"^\d{1,2}\.\d{1,2}\.\d{2}$", "d.M.yy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{2}$", "d MMM yy"), (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"), (r"^\d{1,2}-\d{1,2}-\d{2}$", "M-d-yy"),
 )
 
 
@@ -21,5 +23,8 @@ def iso_date(text: Column) -> Column:
 
 
 def ledger_date(text: Column) -> Column:
-    t = F.trim(text)
+    """A date as people write it. A time behind it is left off, and dashes, commas and dots around a month's name count as spaces."""
+    t = F.regexp_replace(F.trim(text), r"[ T]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm]|Z)?$", "")
+    named = F.trim(F.regexp_replace(t, r"[-,. ]+", " "))
+    t = F.when(t.rlike("[A-Za-z]"), F.initcap(named)).otherwise(t)
     return F.coalesce(iso_date(t), *[F.when(t.rlike(shape), F.try_to_date(t, fmt)) for shape, fmt in _FORMATS])

@@ -55,7 +55,8 @@ def invoices(spark: SparkSession, sf: str) -> DataFrame:
     per_order = li.groupBy("l_orderkey").agg(
         F.collect_list(item).alias("line_items"),
         F.sum(F.round(cents("l_extendedprice") * F.when(
-            code.isNull() | (code == "S"), F.lit("0.15")).otherwise(F.lit("0.00")).cast("decimal(3,2)"), 2)).alias("vat"),
+            (code.isNull() & ~F.coalesce(_suggested().isin("exempt", "zero_rated"), F.lit(False))) | (code == "S"), F.lit("0.15")).otherwise(
+            F.lit("0.00")).cast("decimal(3,2)"), 2)).alias("vat"),
         F.sum(cents("l_extendedprice")).alias("base"))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     seller = F.when(k % 17 == 0, F.lit(None)).when(k % 19 == 0, F.lit("12345")).otherwise(
@@ -78,13 +79,19 @@ def invoices(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _suggested():
+    """What is suggested for a part: one of the categories, something that is none, or nothing."""
+    turn = F.floor(F.col("l_partkey") / 20) % 4
+    return F.when((F.col("l_partkey") % 20) == 0, F.when(turn == 0, "exempt").when(turn == 1, "zero_rated").when(turn == 2, "standard").otherwise("luxury"))
+
+
 def suggestions(spark: SparkSession, sf: str) -> DataFrame:
     """A suggested category for every second part without a code."""
     li = table(spark, sf, "lineitem")
     return li.filter((F.col("l_partkey") % 20) == 0).select(
         F.concat(F.lit("inv_"), F.col("l_orderkey").cast("string")).alias("filename"),
         F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("line_id"),
-        F.lit("standard").alias("tax_category"), F.lit(0.9).alias("confidence"))
+        _suggested().alias("tax_category"), F.lit(0.9).alias("confidence"))
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:

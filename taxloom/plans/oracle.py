@@ -28,7 +28,8 @@ totals AS (SELECT invoice_id, sum(base) AS subtotal, CAST(sum(vat) AS DECIMAL(24
 """
 INVOICES = """
 items AS (SELECT l_orderkey AS k, CAST(l_extendedprice AS DECIMAL(18,2)) AS base,
-  CASE WHEN l_partkey % 10 = 0 OR l_returnflag = 'A' THEN 'standard' WHEN l_returnflag = 'N' THEN 'zero_rated'
+  CASE WHEN l_partkey % 20 = 0 AND (l_partkey // 20) % 4 = 0 THEN 'exempt' WHEN l_partkey % 20 = 0 AND (l_partkey // 20) % 4 = 1 THEN 'zero_rated'
+       WHEN l_partkey % 10 = 0 OR l_returnflag = 'A' THEN 'standard' WHEN l_returnflag = 'N' THEN 'zero_rated'
        ELSE 'exempt' END AS cat FROM lineitem),
 sums AS (SELECT k, sum(CASE WHEN cat = 'standard' THEN round(base * 0.15, 2) ELSE 0 END) AS vat, sum(base) AS base
   FROM items GROUP BY k),
@@ -147,7 +148,7 @@ report AS (SELECT item_id, CASE
   coalesce(format('{:,.2f}', CAST(amt_a AS DOUBLE)), '') AS amount_a, coalesce(desc_b, '') AS side_b,
   coalesce(format('{:,.2f}', CAST(amt_b AS DOUBLE)), '') AS amount_b,
   coalesce(format('{:,.2f}', CAST(amt_a - amt_b AS DOUBLE)), '') AS difference,
-  CASE decision WHEN 'confirmed' THEN 'Accepted' WHEN 'dismissed' THEN 'Rejected' ELSE 'Open' END AS status FROM excepted)
+  CASE decision WHEN 'confirmed' THEN 'Accepted' WHEN 'dismissed' THEN 'Rejected' ELSE 'Open' END AS status, '' AS explanation FROM excepted)
 """
 POOL4 = """
 ta AS (SELECT a.* FROM items i JOIN ledger a ON a.row_id = i.row_a WHERE i.kind = 'unmatched'),
@@ -279,10 +280,19 @@ SELECT filename, status, seller AS seller_vat_number, buyer_name, CASE WHEN stat
   THEN concat_ws(' | ', e1, e2, e3, e4, e5, e6, e7, CASE WHEN significant > 0 THEN 'Printed totals differ from the recalculated ones.' END)
   WHEN mismatches > 0 THEN 'Rounding only (total_vat, grand_total)' ELSE '' END AS reason FROM verdict""",
     "issue_detail": _with(INVOICES) + """,
-gaps AS (SELECT filename, significant, vat, base, CAST(CASE WHEN k % 10 = 1 THEN 0.01 ELSE 0.10 END AS DECIMAL(18,2)) AS err FROM verdict WHERE status = 'flagged' AND mismatches > 0)
-SELECT filename, 0 AS pos, CASE WHEN significant > 0 THEN 'error' ELSE 'rounding' END AS severity, 'total_vat' AS what,
-  'printed ' || format('{:,.2f}', CAST(vat + err AS DOUBLE)) || ', recalculated ' || format('{:,.2f}', CAST(vat AS DOUBLE)) AS text FROM gaps
-UNION ALL SELECT filename, 1, CASE WHEN significant > 0 THEN 'error' ELSE 'rounding' END, 'grand_total',
+gaps AS (SELECT filename, significant, vat, base, CAST(CASE WHEN k % 10 = 1 THEN 0.01 ELSE 0.10 END AS DECIMAL(18,2)) AS err FROM verdict WHERE status = 'flagged' AND mismatches > 0),
+found AS (SELECT filename, list_filter([
+    {'what': 'missing_seller_vat_number', 'severity': 'error', 'text': e1}, {'what': 'missing_issue_date', 'severity': 'error', 'text': e2},
+    {'what': 'missing_buyer_identity', 'severity': 'warning', 'text': CASE WHEN buyer_name IS NULL AND buyer IS NULL THEN 'The buyer was not identified.' END},
+    {'what': 'invalid_vat_number_format', 'severity': 'error', 'text': e3}, {'what': 'invalid_buyer_vat_number_format', 'severity': 'error', 'text': e4},
+    {'what': 'future_issue_date', 'severity': 'error', 'text': e5}, {'what': 'seller_equals_buyer', 'severity': 'error', 'text': e6},
+    {'what': 'not_readable_as_invoice', 'severity': 'error', 'text': e7},
+    {'what': 'no_printed_totals', 'severity': 'warning', 'text': CASE WHEN has_lines AND NOT printed THEN 'No printed totals to compare with.' END}],
+    lambda x: x.text IS NOT NULL) AS l FROM verdict WHERE status = 'flagged')
+SELECT filename, 'issue' AS part, CAST(i AS INTEGER) AS pos, l[i + 1].severity AS severity, l[i + 1].what AS what, l[i + 1].text AS text FROM found, range(len(l)) r(i)
+UNION ALL SELECT filename, 'mismatch', 0, CASE WHEN significant > 0 THEN 'error' ELSE 'rounding' END, 'total_vat',
+  'printed ' || format('{:,.2f}', CAST(vat + err AS DOUBLE)) || ', recalculated ' || format('{:,.2f}', CAST(vat AS DOUBLE)) FROM gaps
+UNION ALL SELECT filename, 'mismatch', 1, CASE WHEN significant > 0 THEN 'error' ELSE 'rounding' END, 'grand_total',
   'printed ' || format('{:,.2f}', CAST(base + vat + err AS DOUBLE)) || ', recalculated ' || format('{:,.2f}', CAST(base + vat AS DOUBLE)) FROM gaps""",
     "structural_issues": """
 WITH d AS (SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 50 <> 0 THEN 'P' || (o_orderkey % 1500) END AS seller, CASE WHEN o_orderkey % 51 <> 0 THEN 'P' || o_custkey END AS buyer,
@@ -351,9 +361,9 @@ SELECT count(*) FILTER (WHERE kind = 'amount_mismatch') AS mismatch_count, count
 SELECT item_id, concat_ws(' | ', '* ' || exception_type, 'ours ' || coalesce(nullif(side_a, ''), '-') || ' ' || coalesce(nullif(amount_a, ''), '-'),
   'theirs ' || coalesce(nullif(side_b, ''), '-') || ' ' || coalesce(nullif(amount_b, ''), '-'), status, '-') AS finding FROM report""",
     "sequential_references": """
-WITH r AS (SELECT o_orderkey AS ordinal, o_orderkey * 7 AS n FROM orders WHERE o_orderstatus = 'P'),
-g AS (SELECT *, n - lag(n) OVER (ORDER BY n) AS before, lead(n) OVER (ORDER BY n) - n AS after FROM r)
-SELECT ordinal, 'PO-' || n AS reference FROM g WHERE before <= 20 OR after <= 20""",
+WITH r AS (SELECT o_orderkey AS ordinal, o_orderkey * 7 AS n, 'PO' || o_orderstatus || '-' AS series FROM orders),
+g AS (SELECT *, n - lag(n) OVER w AS before, lead(n) OVER w - n AS after FROM r WINDOW w AS (PARTITION BY series ORDER BY n))
+SELECT ordinal, series || n AS reference FROM g WHERE before <= 20 OR after <= 20""",
     "group_options": _with(*RECON, POOL4, SUBSETS) + """
 SELECT t AS target, CAST(least(count(*), 2) AS INTEGER) AS n, CASE WHEN count(*) = 1 THEN min(members) END AS members FROM fits GROUP BY t""",
     "ledger_rows": """

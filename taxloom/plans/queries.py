@@ -75,8 +75,7 @@ def invoice_reasons(s, sf):
 
 
 def issue_detail(s, sf):
-    return invoices.issue_detail(_checked(s, sf)).filter(F.col("part") == "mismatch").select(
-        "filename", "pos", "severity", "what", "text")
+    return invoices.issue_detail(_checked(s, sf)).select("filename", "part", "pos", "severity", "what", "text")
 
 
 def classification_split(s, sf):
@@ -210,7 +209,7 @@ def summary_counts(s, sf):
 
 def exception_rows(s, sf):
     _, items, candidates = _reviewed(s, sf)
-    return summary.exception_rows(items, candidates).drop("explanation")
+    return summary.exception_rows(items, candidates)
 
 
 def exception_findings(s, sf):
@@ -220,8 +219,8 @@ def exception_findings(s, sf):
 
 def sequential_references(s, sf):
     o = lens.table(s, sf, "orders")
-    rows = o.filter(F.col("o_orderstatus") == "P").select(
-        F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("PO-"), (F.col("o_orderkey") * 7).cast("string")).alias("reference"))
+    series = F.concat(F.lit("PO"), F.col("o_orderstatus"), F.lit("-"))
+    rows = o.select(F.col("o_orderkey").alias("ordinal"), F.concat(series, (F.col("o_orderkey") * 7).cast("string")).alias("reference"))
     return groups.rows_with_sequential_sibling(rows).select("ordinal", "reference")
 
 

@@ -74,12 +74,26 @@ def reconcile(rows_a: DataFrame, rows_b: DataFrame, days: int = C.DATE_PROXIMITY
 
 def reconcile_leftovers(matched: DataFrame, items: DataFrame, candidates: DataFrame, tolerance=C.AMOUNT_TOLERANCE,
                         max_days: int = C.SUM_MATCH_MAX_DAYS) -> DataFrame:
-    """Pass 5 over the rows a finished review left open; the new items join the reviewed ones."""
+    """Pass 5 over the rows a finished review left open: the new items alone (see ``second_round``)."""
     _checked(max_days, tolerance)
     pool_a, pool_b = review.leftover_pool(matched, items, candidates)
     return groups.leftover_sums(settle(pool_a, "pool"), settle(pool_b, "pool"), tolerance, max_days)
 
 
+def second_round(reviewed: Reconciliation, max_days: int = C.SUM_MATCH_MAX_DAYS) -> Reconciliation:
+    """The state after a finished first review: stale items are gone, the sums found among leftovers stand beside the reviewed
+    items and wait for decisions, and rows that a new item takes are no longer listed as unmatched. Decide with ``review.apply_decisions`` and
+    check with ``review.confirm`` as in the first round."""
+    kept = settle(review.drop_stale_unmatched(reviewed.matched, reviewed.items), "kept")
+    found = settle(reconcile_leftovers(reviewed.matched, kept, reviewed.candidates, reviewed.params.get("tolerance", C.AMOUNT_TOLERANCE), max_days), "sums")
+    taken = found.select(F.explode(F.concat(F.array("row_a.row_id", "row_b.row_id"), F.transform("group", lambda g: g["row_id"]))).alias("row_id")).filter(
+        F.col("row_id").isNotNull()).distinct()
+    loose = F.col("kind") == "unmatched"
+    still = kept.filter(loose).withColumn("row_id", F.coalesce(F.col("row_a.row_id"), F.col("row_b.row_id"))).join(
+        taken, "row_id", "left_anti").select(*kept.columns)
+    return Reconciliation(reviewed.matched, kept.filter(~loose).unionByName(still).unionByName(found.select(*kept.columns)), reviewed.candidates, reviewed.params)
+
+
 def reconciliation_report(result: Reconciliation, lang: str = "en") -> dict[str, DataFrame]:
     """The report's datasets: summary, matched pairs, exceptions, and all candidates."""
     return {

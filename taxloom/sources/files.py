@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Which extension is read as what.
 ROUTES = {".xml": "ubl_xml", ".csv": "csv", ".txt": "text", ".md": "text"}
@@ -43,10 +43,12 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def join_manifest(manifest: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Manifest entries with their file (matched on the path's end), and entries without one."""
+    """Manifest entries with their file (the path itself or its last parts; of several the shortest path), and entries without one."""
     name = lambda c: F.regexp_extract(c, r"[^/]*$", 0)
     f = files.withColumnRenamed("path", "file_path").withColumn("name", name(F.col("file_path")))
     m = manifest.withColumn("name", name(F.col("path")))
-    joined = m.join(f, "name").filter(F.col("file_path").endswith(F.col("path"))).drop("name")
+    ends = (F.col("file_path") == F.col("path")) | F.col("file_path").endswith(F.concat(F.lit("/"), F.ltrim(F.col("path"), F.lit("/"))))
+    nearest = Window.partitionBy("path").orderBy(F.length("file_path"), "file_path")
+    joined = m.join(f, "name").filter(ends).withColumn("_n", F.row_number().over(nearest)).filter(F.col("_n") == 1).drop("name", "_n")
     absent = manifest.join(joined.select("path").distinct(), "path", "left_anti").withColumn("reason", F.lit("file not found"))
     return joined, absent

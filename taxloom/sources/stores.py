@@ -16,12 +16,21 @@ REGISTRY = ("table_ref string, document_type string, version_label string, juris
 _KEPT = ("description", "corrected", "corrected_date", "created_at")
 
 
+def last_per_key(updates: DataFrame, *keys: str, order: str | None = None) -> DataFrame:
+    """One update per key: the latest by ``order`` where there is such a column, ties and all else by the greatest values, so that
+    several updates of one key never multiply the row they change."""
+    rest = [c for c in updates.columns if c not in keys]
+    first = [F.desc(order)] if order and order in rest else []
+    w = Window.partitionBy(*keys).orderBy(*first, *[F.desc(F.col(c).cast("string")) for c in rest])
+    return updates.withColumn("_last", F.row_number().over(w)).filter(F.col("_last") == 1).drop("_last")
+
+
 def upsert_registry(old: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
     """Registers tables by ``table_ref``: new values win, while description, correction marks and the time of
     first registration survive."""
     now = F.current_timestamp() if now is None else now
     keys = [f.name for f in old.schema.fields]
-    n = new.select("table_ref", F.lit(True).alias("given"), *[F.col(c).alias(f"new_{c}") for c in new.columns if c != "table_ref"])
+    n = last_per_key(new, "table_ref", order="created_at").select("table_ref", F.lit(True).alias("given"), *[F.col(c).alias(f"new_{c}") for c in new.columns if c != "table_ref"])
     both = old.join(n, "table_ref", "full_outer")
 
     def value(c: str) -> Column:
@@ -41,13 +50,13 @@ def upsert_registry(old: DataFrame, new: DataFrame, now: Column | None = None) -
 
 
 def set_descriptions(registry: DataFrame, descriptions: DataFrame) -> DataFrame:
-    d = descriptions.select("table_ref", F.col("description").alias("new_description"))
+    d = last_per_key(descriptions, "table_ref", order="set_at").select("table_ref", F.col("description").alias("new_description"))
     return registry.join(d, "table_ref", "left").withColumn("description", F.coalesce("new_description", "description")).select(*registry.columns)
 
 
 def mark_corrected(registry: DataFrame, corrections: DataFrame) -> DataFrame:
     """``corrections(table_ref, corrected_date)``."""
-    c = corrections.select("table_ref", F.col("corrected_date").alias("new_date"))
+    c = last_per_key(corrections, "table_ref", order="corrected_date").select("table_ref", F.col("corrected_date").alias("new_date"))
     hit = F.col("new_date").isNotNull()
     return registry.join(c, "table_ref", "left").withColumns({
         "corrected": F.when(hit, True).otherwise(F.col("corrected")),
@@ -73,9 +82,10 @@ def read_table_rows(spark, path: str) -> DataFrame:
 
 
 def upsert_chunks(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Points by stable id, last run wins (``run_ts``); ids no longer produced stay, as documents may shrink."""
+    """Points by stable id, last run wins (``run_ts``; of one run the greater ``text``, so the winner is always the same); ids no longer
+    produced stay, as documents may shrink."""
     both = stored.unionByName(fresh, allowMissingColumns=True)
-    w = Window.partitionBy("id").orderBy(F.desc("run_ts"))
+    w = Window.partitionBy("id").orderBy(F.desc("run_ts"), *([F.desc("text")] if "text" in both.columns else []))
     return both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
 
 
@@ -93,7 +103,7 @@ def new_batches(rows: DataFrame, now: Column | None = None, ttl_hours: int = C.B
 
 def update_batches(batches: DataFrame, updates: DataFrame) -> DataFrame:
     """``updates(batch_id, user_id, status, data)``; an update by anyone but the owner changes nothing."""
-    u = updates.select("batch_id", "user_id", F.col("status").alias("new_status"), F.col("data").alias("new_data"), F.lit(True).alias("hit"))
+    u = last_per_key(updates, "batch_id", "user_id", order="updated_at").select("batch_id", "user_id", F.col("status").alias("new_status"), F.col("data").alias("new_data"), F.lit(True).alias("hit"))
     return batches.join(u, ["batch_id", "user_id"], "left").withColumns({
         "status": F.when(F.col("hit"), F.col("new_status")).otherwise(F.col("status")),
         "data": F.when(F.col("hit"), F.col("new_data")).otherwise(F.col("data"))}).select(*batches.columns)

@@ -97,7 +97,8 @@ class _Expiry(StatefulProcessor):
         yield pd.DataFrame(columns=["batch_id", "user_id", "expires_at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.batch.exists():
+        due = self.batch.exists() and int(self.batch.get()[1].timestamp() * 1000) <= expiredTimerInfo.getExpiryTimeInMs()
+        if due:  # a batch stored again with a later expiry has a timer of its own for that
             user_id, expires_at = self.batch.get()
             self.batch.clear()
             yield pd.DataFrame([(key[0], user_id, pd.Timestamp(expires_at))], columns=["batch_id", "user_id", "expires_at"])
