@@ -9,8 +9,10 @@ The distance is 1 - intersection / union, a metric; two documents link at a dist
    document with fewer shared shingles than that is done. A shingle that is repeated inside one task's input is marked there and sent once, so
    a passage that a third of all documents hold does not gather in one bucket.
 3. *Pivots.* Two linked documents agree in one of the first ``size - ceil(0.75 size) + 1`` shingles in a common order (rare before
-   frequent). Documents with such a key in common are neighbours, and the neighbour of the least hash is the key's pivot. Every document
-   measures its distance to the pivots of its keys; the nearest one is its home: Voronoi regions. Distances within reach are links.
+   frequent). Documents with such a key in common are neighbours, and the neighbour of the least hash may be the key's pivot. Every document
+   calls the one of least hash among those of its keys; the called ones are the pivots, few for a group of near copies however many keys
+   it has. A document measures its distance to the pivots among its keys'; the nearest is its home: Voronoi regions. Distances within
+   reach are links.
 4. *Windows.* Where a key spans two regions, the documents of the smaller are measured against the other's pivot. A document x can
    have a partner in region P only if d(x, P) <= radius(P) + REACH and d(x, P) <= d(x, home) + 2 REACH (triangle inequality); such boundary
    documents are replicated into P. Pairs already joined by a chain of links are left out, as links only matter by what they connect.
@@ -44,9 +46,9 @@ from taxloom.session import settle
 PERCENT = 75
 REACH = 1 - PERCENT / 100
 #: Postings that a task packs at once, and postings per bucket.
-FLUSH, PER_BUCKET, LEAST_BUCKETS = 2_000_000, 4_000_000, 32
+FLUSH, PER_BUCKET, LEAST_BUCKETS = 1_000_000, 2_000_000, 64
 #: A shingle shared by more sets than this is ordered behind the rarer ones.
-FREQUENT = 64
+FREQUENT = 4
 BLOCK = 256
 RING = 0.125
 #: Rounding of distances as doubles; windows are this much wider.
@@ -191,7 +193,7 @@ def keys_of(sets: DataFrame) -> DataFrame:
     """``set_id, key``: the first shingles of each set in the common order, by which linked sets must meet."""
     postings = sets.select("set_id", F.explode("values").alias("value"))
     often = settle(postings.groupBy("value").agg(F.count("*").alias("often")).where(F.col("often") > FREQUENT), "frequent")
-    late = postings.join(often, "value").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("often", "value"))).alias("late"))
+    late = postings.join(if_small(often), "value").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("often", "value"))).alias("late"))
     df = sets.join(late, "set_id", "left")
     last = F.transform("late", lambda x: x["value"])
     order = F.when(F.col("late").isNull(), F.col("values")).otherwise(F.concat(F.array_except("values", last), last))
@@ -207,7 +209,8 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``x, p`` to ``x, p, d, linked``. Sets of sizes too far apart to link still get their distance, as windows need it."""
     mine = sets.select(F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("values").alias("vx"))
     pivot = sets.select(F.col("set_id").alias("p"), F.col("n").alias("np"), F.col("values").alias("vp"))
-    both = pairs.select("x", "p").join(mine, "x").join(pivot, "p")
+    # The popular side first: there the pairs are narrow, and Spark can split a pivot with very many of them.
+    both = pairs.select("x", "p").join(pivot, "p").join(mine, "x")
     # Shingles that no other set holds are in no intersection, so the shared ones are enough.
     df = both.select("x", "p", "nx", "np", F.size(F.array_intersect("vx", "vp")).cast("long").alias("c"))
     union = F.col("nx") + F.col("np") - F.col("c")
@@ -270,12 +273,14 @@ def links(sets: DataFrame) -> DataFrame:
     """``a, b``: links between sets, enough to connect everything that is connected. ``sets`` as from ``shared_shingles``, stored."""
     keys = settle(keys_of(sets), "keys")
     pivots = keys.groupBy("key").agg(F.min(F.struct(rank("set_id").alias("r"), F.col("set_id").alias("p"))).alias("m"), F.count("*").alias("c")).where("c > 1")
-    met = keys.join(pivots.select("key", F.col("m.p").alias("p")), "key")
+    met = keys.join(pivots.select("key", F.col("m").alias("m")), "key")
+    # Of the pivots of a set's keys the one of the least hash serves; the others are no pivots unless another set calls them.
+    called = settle(met.groupBy("set_id").agg(F.min("m").alias("m")).select(F.col("m.p").alias("p")).distinct(), "pivots")
+    met = met.select("set_id", F.col("m.p").alias("p")).join(called, "p")
     near = settle(distances(met.where("set_id <> p").select(F.col("set_id").alias("x"), "p").distinct(), sets), "near")
-    pivot_ids = settle(met.select("p").distinct(), "pivots")
     nearest = near.groupBy("x").agg(F.min(F.struct("d", rank("p").alias("r"), "p")).alias("m")).select("x", F.col("m.p").alias("home"), F.col("m.d").alias("d"))
-    homes = pivot_ids.select(F.col("p").alias("x"), F.col("p").alias("home"), F.lit(0.0).alias("d")).unionByName(
-        nearest.join(pivot_ids, F.col("x") == F.col("p"), "left_anti"))
+    homes = called.select(F.col("p").alias("x"), F.col("p").alias("home"), F.lit(0.0).alias("d")).unionByName(
+        nearest.join(called, F.col("x") == F.col("p"), "left_anti"))
     first = near.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
     roots = components(first)
     homes = settle(homes.join(roots.withColumnRenamed("node", "x"), "x", "left").select("x", "home", "d", F.coalesce("root", "x").alias("root")), "homes")

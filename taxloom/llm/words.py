@@ -8,7 +8,7 @@ import numpy as np
 
 SHINGLE_WORDS = 5
 #: Texts are hashed in slices of about this many bytes, so that a task's memory follows the longest text, not the batch.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
