@@ -28,13 +28,14 @@ def needs_translation(text: Column, target: Column) -> Column:
 def intent(text: Column) -> Column:
     t = F.lower(text)
     return (
-        F.when(t.rlike(r"(?U)\b(zatca|vat|calculate|calculator|compliance|tax)\b"), "calculator")
+        F.when(t.rlike(CALCULATOR_WORDS), "calculator")
         .when(t.rlike(r"(?U)\b(" + "|".join(PRODUCT_WORDS) + r")\b"), "product_info")
         .otherwise("general")
     )
 
 
-# Phrases that ask about the product itself. Deployments add their product's name.
+# Words that ask for a calculation, and phrases that ask about the product itself. Deployments add their product's name.
+CALCULATOR_WORDS = r"(?U)\b(zatca|vat|calculate|calculator|compliance|tax)\b"
 PRODUCT_WORDS = ["feature", "features", "what is", "how to use", "tell me about", "help me with"]
 
 
@@ -52,14 +53,17 @@ def strip_latex(text: Column) -> Column:
     return F.array_join(F.transform(F.split(out, "\n"), strip), "\n")
 
 
+# How people state their name.
+NAME_PATTERNS = [
+    r"(?iU)\bmy name is\s+([A-Za-z][\w' -]{0,40}?)(?:[.,!?]|\s+and\b|$)",
+    r"(?iU)\bcall me\s+([A-Za-z][\w' -]{0,40}?)(?:[.,!?]|\s+and\b|$)",
+    r"(?U)اسمي\s+([\u0600-\u06FF][\u0600-\u06FF\s]{0,40}?)(?:[.,!؟]|$)",
+]
+
+
 def stated_name(text: Column) -> Column:
     """A name given as "my name is …", "call me …" or the Arabic "my name"; three words at most."""
-    latin = r"([A-Za-z][\w' -]{0,40}?)(?:[.,!?]|\s+and\b|$)"
-    patterns = [
-        r"(?iU)\bmy name is\s+" + latin,
-        r"(?iU)\bcall me\s+" + latin,
-        r"(?U)اسمي\s+([\u0600-\u06FF][\u0600-\u06FF\s]{0,40}?)(?:[.,!؟]|$)",
-    ]
+    patterns = NAME_PATTERNS
     tail = F.array(*[F.lit(w) for w in C.NAME_TRAILING_WORDS])
 
     def clean(pattern: str) -> Column:

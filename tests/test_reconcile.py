@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from taxloom.operators import match, review
+from taxloom import session
+from taxloom.operators import match, review, summary
 from taxloom.plans import reconcile
 from tests.helpers import kinds, row, rows
 
@@ -69,3 +70,36 @@ def test_review_of_contested_items(spark):
     assert bad.count() == 0 and kept.count() == 3
     pool_a, pool_b = review.leftover_pool(r.matched, items, r.candidates)
     assert sorted(x.row_id for x in pool_a.collect()) == ["a0", "a2"] and pool_b.count() == 0
+
+
+def test_a_choice_is_listed_whole(spark):
+    a = [row("a0", 50, day=0), row("a1", 50, day=0)]
+    r = passes(spark, a, [row(f"b{i}", 50, day=0, ref=f"R{i}x{i}") for i in range(200)])
+    cells = {e.item_id: e.side_b for e in summary.exception_rows(r.items, r.candidates).collect() if e.side_b}
+    assert len(cells) == 2 and all(len(c.split("; ")) == 200 for c in cells.values())
+
+
+def test_the_last_decision_counts(spark):
+    a = [row("a0", 50, day=0), row("a1", 50, day=1)]
+    r = passes(spark, a, [row("b0", 50, day=0)])
+    twice = spark.createDataFrame([("review_a0", "confirmed", None, "b0", 1), ("review_a0", "dismissed", None, None, 2)],
+                                  "item_id string, decision string, explanation string, selected_candidate_id string, decided_at int")
+    items = review.apply_decisions(r.items, twice)
+    assert {i.item_id: i.decision for i in items.collect()} == {"review_a0": "dismissed", "review_a1": None}
+
+
+def test_second_round(spark):
+    """Leftovers that add up join the reviewed items; their rows are no longer loose; the second review sees both."""
+    a = [row("a0", 3000, day=0), row("a1", 3000, day=20), row("a2", 4000, day=40), row("a3", 7, day=1)]
+    r = reconcile.reconcile(rows(spark, a), rows(spark, [row("b0", 10000, day=42)]))
+    after = reconcile.second_round(r)
+    assert kinds(after.items) == ["sum_match", "unmatched"]
+    kept, bad = review.confirm(after.matched, after.items, after.candidates)
+    assert kept.count() == 2 and bad.count() == 0
+
+
+def test_scratch_leaves_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    with session.scratch(spark):
+        assert session.settle(spark.range(3), "x").count() == 3 and list(tmp_path.iterdir())
+    assert not list(tmp_path.iterdir())
