@@ -51,12 +51,6 @@ def grid_key(amount: Column, tolerance) -> Column:
     return F.bround((amount.cast("decimal(24,6)") / F.lit(tol)).cast("decimal(38,12)"), 0).cast("decimal(38,0)")
 
 
-def grid_value(amount: Column, tolerance) -> Column:
-    tol = Decimal(str(tolerance))
-    key = grid_key(amount, tol)
-    return key if tol == 0 else (key * F.lit(tol)).cast(AMOUNT)
-
-
 def is_vat_gap(a: Column, b: Column) -> Column:
     """Amounts apart by 15 % of the smaller one, give or take half a point."""
     low, high = F.least(a, b), F.greatest(a, b)

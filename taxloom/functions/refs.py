@@ -18,10 +18,6 @@ def reference_prefix(ref: Column) -> Column:
     return F.when(t.rlike(r"^[A-Za-z]*-?[0-9]"), F.upper(F.regexp_extract(t, r"^([A-Za-z]*-?)[0-9]+", 1)))
 
 
-def reference_number(ref: Column) -> Column:
-    return F.regexp_extract(F.trim(ref), r"^[A-Za-z]*-?([0-9]+)", 1).try_cast("decimal(38,0)")
-
-
 def description_tokens(text: Column) -> Column:
     """Distinct ASCII words of four letters or more that name the subject, sorted."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]{4,}"), F.lit(0))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from taxloom.operators import invoices, period
-from taxloom.plans.reconcile import Reconciliation, reconciliation_report
 
 
 def invoice_report(checked: DataFrame) -> dict[str, DataFrame]:
@@ -27,10 +26,6 @@ def workpapers(result: period.PeriodReturn, issues: DataFrame, lang: str = "en")
     }
 
 
-def reconciliation_sinks(result: Reconciliation, lang: str = "en") -> dict[str, DataFrame]:
-    return reconciliation_report(result, lang)
-
-
 def write_report(datasets: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
     """Writes each dataset under ``folder``; nested columns need parquet or json."""
     for name, df in datasets.items():

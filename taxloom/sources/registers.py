@@ -71,7 +71,10 @@ def read_registers(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     rows = number_by_split(data.select("source_id", "split", "position", "values"), "row_index").join(
         headers, "source_id").select(
         "source_id", "row_index",
-        F.transform("column_names", lambda n, i: F.struct(n.alias("name"), F.get("values", i).alias("value"))).alias("cells"))
+        # cells beyond the header's width are kept, under the names that blank headers get
+        F.transform(F.sequence(F.lit(0), F.greatest(F.size("column_names"), F.size("values"), F.lit(1)) - 1), lambda i: F.struct(
+            F.coalesce(F.get("column_names", i), F.concat(F.lit("Unnamed: "), i.cast("string"))).alias("name"),
+            F.get("values", i).alias("value"))).alias("cells"))
     return rows, meta
 
 

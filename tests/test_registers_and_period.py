@@ -108,3 +108,10 @@ def test_parsing(spark):
              "03-02-2024 00:00:00": day, "31/31/24": None, "": None}
     d = spark.createDataFrame([(t,) for t in texts], "v string").select("v", dates.ledger_date(F.col("v")).alias("d")).collect()
     assert {r.v: r.d for r in d} == texts
+
+
+def test_cells_beyond_the_header_are_kept(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("Ref,Amount\nA,1,extra,more\nB\n")
+    rows, _ = registers.read_registers(spark, str(tmp_path))
+    got = [[(c["name"], c["value"]) for c in r.cells] for r in rows.orderBy("row_index").collect()]
+    assert got == [[("Ref", "A"), ("Amount", "1"), ("Unnamed: 2", "extra"), ("Unnamed: 3", "more")], [("Ref", "B"), ("Amount", None)]]
