@@ -10,23 +10,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taxloom.llm import credentials, decontaminate, jaccard, mixture, quality
+from taxloom.llm.sizes import if_small
 from taxloom.session import prepare, settle
 
 #: The rows depend on random orders and on thresholds chosen from labels, which SQL does not express; tests compare with plain Python.
 ORACLE_SQL = None
 
 
-def _whole(docs: DataFrame, *names: str) -> DataFrame:
-    """Every row as one struct beside the columns that a stage reads, so that no computed column can meet one of the same name."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), *names)
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not in ``gone`` (``doc_id, text_hash, lang``). Verdicts are stored as narrow rows and meet the documents
+    here: a filter on computed columns would make Spark compute them again inside the condition. The texts are shuffled only if the
+    table of what goes is too large to send to every task."""
+    keys = settle(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("lang").alias("__lang")).distinct(), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")) & F.col("lang").eqNullSafe(F.col("__lang"))
+    return docs.join(if_small(keys), same, "left_anti")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """What the judging stages read; extra columns of the documents stay out, so that no computed column can meet one of the same name."""
+    return docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_hash"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what fails the base rules or a certified cutoff."""
     prepare(spark)
-    measured = quality.measure(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "base_failed", *quality.RULES)
-    cutoffs = settle(quality.choose_cutoffs(settle(measured, "quality"), spark.read.parquet(f"{sf_dir}/labels.parquet")), "cutoffs")
-    return quality.judge(quality.measure(_whole(docs, "doc_id", "lang", "text")), cutoffs).where("kept").select("__doc.*")
+    measured = settle(quality.measure(_keyed(docs)).select("doc_id", "lang", "text_hash", "base_failed", *quality.RULES), "quality")
+    cutoffs = settle(quality.choose_cutoffs(measured, spark.read.parquet(f"{sf_dir}/labels.parquet")), "cutoffs")
+    return _without(docs, quality.judge(measured, cutoffs).where("not kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +48,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
     prepare(spark)
-    marked = decontaminate.mark_hits(_whole(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return marked.where("not contaminated").select("__doc.*")
+    marked = decontaminate.mark_hits(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, settle(marked.select("doc_id", "text_hash", "lang", "contaminated"), "marked").where("contaminated"))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
