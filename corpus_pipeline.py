@@ -35,7 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Rejects what fails the base rules or a certified cutoff."""
     prepare(spark)
     measured = settle(quality.measure(_keyed(docs)).select("doc_id", "lang", "text_hash", "base_failed", *quality.RULES), "quality")
-    cutoffs = settle(quality.choose_cutoffs(measured, spark.read.parquet(f"{sf_dir}/labels.parquet")), "cutoffs")
+    cutoffs = settle(quality.certify(measured, spark.read.parquet(f"{sf_dir}/labels.parquet")), "cutoffs")
     return _without(docs, quality.judge(measured, cutoffs).where("not kept"))
 
 

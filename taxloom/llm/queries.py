@@ -54,7 +54,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "lang", *quality.BASE, "base_failed", *quality.RULES]
     measured = settle(quality.measure(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select(columns), "quality")
-    cutoffs = settle(quality.choose_cutoffs(measured, _table(spark, sf_dir, "labels")), "cutoffs")
+    cutoffs = settle(quality.certify(measured, _table(spark, sf_dir, "labels")), "cutoffs")
     return quality.judge(measured, cutoffs).select("doc_id", *quality.BASE, "base_failed", "kept", *quality.RULES)
 
 

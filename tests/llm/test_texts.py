@@ -73,6 +73,24 @@ def test_cutoffs_are_those_of_the_definition(spark):
     assert quality.choose_cutoffs(measured, labels.limit(0), 0.1, 0.05, rules).count() == 0  # no labels: nothing certified
 
 
+def test_cutoffs_by_number_of_labels(spark):
+    """Good documents lie low, bad ones high; de has labels for the shared sequence only, fr for none, it has no label at all."""
+    rows = [(lang, i < good, 0.01 if i < good else 0.2) for lang, good, bad in (("en", 2000, 30), ("de", 470, 30), ("fr", 40, 30), (None, 460, 5), ("it", 9, 9)) for i in range(good + bad)]
+    measured = spark.createDataFrame([(i, lang, False, x, 0.0, 0.0) for i, (lang, _, x) in enumerate(rows)],
+                                     "doc_id long, lang string, base_failed boolean, symbol_share double, upper_share double, dup_line_share double")
+    labels = spark.createDataFrame([(i, int(good)) for i, (lang, good, _) in enumerate(rows) if lang != "it"], "doc_id long, quality int")
+    cutoffs = quality.certify(measured, labels)
+    assert {(r["lang"], r["way"]) for r in cutoffs.collect()} == {("en", "rules"), ("de", "path"), ("fr", "parent"), (None, "path")}
+    kept = quality.judge(measured, cutoffs).select("doc_id", "kept").collect()
+    assert all(r["kept"] == (rows[r["doc_id"]][0] == "it" or rows[r["doc_id"]][1]) for r in kept) and len(kept) == len(rows)
+    few = labels.where("doc_id % 20 = 0")
+    assert quality.certify(measured, few).count() == quality.certify(measured, labels.limit(0)).count() == 0
+    # every tenth good German document is junk-like: its sequence ends before the junk, whatever the other languages say
+    mixed = measured.withColumn("symbol_share", F.when((F.col("lang") == "de") & (F.col("doc_id") % 10 == 0), 0.2).otherwise(F.col("symbol_share")))
+    assert quality.judge(mixed, quality.certify(mixed, labels)).where("lang = 'de' and not kept").count() == 0
+    assert [set(s) for s in quality.path_of({"a": (2.0, 1.0), "b": (3.0,)})] == [{"a"}, {"a", "b"}, {"a", "b"}]
+
+
 def test_chat_round_trip(spark):
     odd = [(1, 0, "user", "hi"), (1, 1, "assistant", "a <|im_end|> <\\|x <\\\\| <|im_sep|>"), (1, 2, "assistant", "again<"), (1, 3, "user", None), (1, 3, "user", None),
            (2, None, "assistant", "late"), (2, 5, None, "x"), (None, 1, "sys\ntem|\\n\\", ""), (3, 1, "assistant", "y" * 100000), (4, 1, "assistant", "<"), (4, 2, "assistant", "|im_end|>")]
