@@ -1,12 +1,13 @@
 """License scans by patience alignment.
 
 1. *Passages.* Where a document uses words typical of the templates, the words around them form a passage; typical words more than ``GAP`` words
-   apart start a new one, and so does the repetition of a passage's leading sign (one of a template's longest words), so that a notice that occurs twice is two
-   passages. Passages are rows of their own: a long text with many notices spreads over tasks.
+   apart start a new one. Passages are rows of their own: a long text with many notices spreads over tasks.
 2. *Candidates.* Passages meet templates in an equi-join on typical words; a pair with at least half of a template's typical words goes on.
 3. *Alignment.* Words that are unique both in the passage and in the template are anchors; the longest increasing subsequence of their
    places is kept; the gaps between kept anchors are aligned in the same way, down to gaps without anchors, of which equal ends are taken.
-   Coverage is the share of the template's words that were aligned.
+   Coverage is the share of the template's words that were aligned. A passage may hold a notice several times (``copies``): words that are unique
+   in the template propose where it begins, a stretch of the template's length there is aligned, the best supported first, and what an
+   accepted copy leaves of the passage is searched again, at last in stretches of twice that length, as far as a copy may be drawn out.
 
 A document is reported with every template of coverage ``COVERAGE`` or more whose aligned words fill at least half of their span; of templates
 that align to overlapping words the one with the most aligned words stays (ties: higher coverage, smaller name).
@@ -102,6 +103,42 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def copies(words: list[str], wanted: list[str], coverage: float = COVERAGE) -> list[tuple[int, int, int]]:
+    """``begin, end, aligned`` of the copies of a template in a passage; they do not overlap."""
+    size = len(wanted)
+    slack = max(2, int(size * (1 - coverage)))
+    once = {w: i for i, w in enumerate(wanted) if wanted.count(w) == 1} or {w: wanted.index(w) for w in wanted}
+    out: list[tuple[int, int, int]] = []
+    free = [(0, len(words))]
+    for reach in (slack, size):
+        # offset of the template's first word as every seed would have it
+        seeds = sorted((p - once[w], p) for lo, hi in free for p, w in enumerate(words[lo:hi], lo) if w in once)
+        offsets = [d for d, _ in seeds]
+        near = {d: bisect_left(offsets, d + reach + 1) - bisect_left(offsets, d - slack) for d in offsets}
+        # A copy lacks at most the share 1 - coverage of all words, so it holds the other unique ones.
+        least = max(1, len(once) - int(size * (1 - coverage)))
+        tried: set[tuple[int, int]] = set()
+        for d, p in sorted(seeds, key=lambda x: (-near[x[0]], x)):
+            if near[d] < least:
+                break
+            room = next(((lo, hi) for lo, hi in free if lo <= p < hi), None)
+            if room is None:
+                continue
+            lo, hi = max(room[0], d - slack), min(room[1], d + size + reach)
+            if (lo, hi) in tried:
+                continue
+            tried.add((lo, hi))
+            pairs = aligned(words[lo:hi], wanted)
+            if not pairs:
+                continue
+            begin, end = lo + pairs[0][0], lo + pairs[-1][0] + 1
+            if len(pairs) >= coverage * size and 2 * len(pairs) >= end - begin:
+                out.append((begin, end, len(pairs)))
+                free.remove(room)
+                free += [x for x in ((room[0], begin), (end, room[1])) if x[0] < x[1]]
+    return sorted(out)
+
+
 def templates_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """``template, license, size, words, typical``: as many rows as there are templates."""
     rows = [(i, name, len(words_of(t)), words_of(t), sorted(typical(words_of(t)))) for i, (name, t) in enumerate(templates)]
@@ -116,7 +153,6 @@ def passages(documents: DataFrame, templates=TEMPLATES, coverage: float = COVERA
     for _, t in templates:
         words = words_of(t)
         signs.update(sorted(typical(words), key=lambda w: (-len(w), w))[:int(len(words) * (1 - coverage) + 1e-9) + 1])
-    strong = frozenset(signs)
     signs = {w for w in signs if not any(v != w and v in w for v in signs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,15 +166,11 @@ def passages(documents: DataFrame, templates=TEMPLATES, coverage: float = COVERA
                 words = words_of(low)
                 hits = [i for i, w in enumerate(words) if w in vocabulary]
                 runs: list[list[int]] = []
-                lead = ""  # the first sign of the running passage
                 for i in hits:
-                    sign = words[i] in strong
-                    if runs and i - runs[-1][-1] <= GAP and not (sign and words[i] == lead):
+                    if runs and i - runs[-1][-1] <= GAP:
                         runs[-1].append(i)
                     else:
                         runs.append([i])
-                        lead = ""
-                    lead = lead or (words[i] if sign else "")
                 for n, r in enumerate(runs):
                     if len(r) < 2:
                         continue
@@ -166,24 +198,21 @@ def matches(found: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends, counts, shares, begins = [], [], [], []
-            for start, words, wanted in zip(*(batch.column(c).to_pylist() for c in ("start", "words", "wanted")), strict=True):
-                pairs_ = aligned(words, wanted)
-                begins.append(start + pairs_[0][0] if pairs_ else start)
-                ends.append(start + pairs_[-1][0] + 1 if pairs_ else start)
-                counts.append(len(pairs_))
-                shares.append(len(pairs_) / len(wanted))
-            cols = [batch.column("doc_id"), batch.column("text_hash"), batch.column("license"), pa.array(begins, pa.int64()), pa.array(ends, pa.int64()),
-                    pa.array(counts, pa.int64()), pa.array(shares, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "license", "begin", "end", "aligned", "coverage"])
+            names = ["doc_id", "text_hash", "license", "begin", "end", "aligned", "coverage"]
+            rows: list[list] = [[] for _ in names]
+            for doc, own, name, start, words, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "license", "start", "words", "wanted")), strict=True):
+                for begin, end, count in copies(words, wanted, coverage):
+                    for values, v in zip(rows, (doc, own, name, start + begin, start + end, count, count / len(wanted)), strict=True):
+                        values.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], names)
 
     done = ready.select(*key, "words", "license", "wanted").mapInArrow(
         run, "doc_id long, text_hash long, license string, begin long, end long, aligned long, coverage double")
-    good = done.where((F.col("coverage") >= coverage) & (2 * F.col("aligned") >= F.col("end") - F.col("begin")))
     # Overlapping matches are chained in the order of their places; the best of each chain stays.
     order = Window.partitionBy("doc_id", "text_hash").orderBy("begin", "end", "license")
     last = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    chained = good.withColumn("new", F.coalesce((F.col("begin") >= last).cast("int"), F.lit(1)))
+    chained = done.withColumn("new", F.coalesce((F.col("begin") >= last).cast("int"), F.lit(1)))
     chained = chained.withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     best = Window.partitionBy("doc_id", "text_hash", "chain").orderBy(F.desc("aligned"), F.desc("coverage"), "license", "begin")
     return chained.withColumn("r", F.row_number().over(best)).where("r = 1").select(

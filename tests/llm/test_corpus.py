@@ -187,6 +187,19 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_notices_with_repeated_words(spark):
+    """Words of a notice come again beside it; copies stand close together."""
+    apache, header = licenses.TEMPLATES[2][1], licenses.TEMPLATES[3][1]
+    rng = random.Random(4)
+    drawn = " ".join(f"{w} {plain.WORDS[i]}" for i, w in enumerate("Released under the MIT License".split()))
+    cases = [("License\n\n" + apache, ["Apache-2.0"]), ("SPDX-License-Identifier: Apache-2.0\n" + header, ["Apache-2.0"]),
+             ("## License\nThis project is licensed under the MIT License", ["MIT"]), ("see\n" + f"{apache} " * 5 + "end", ["Apache-2.0"] * 5),
+             (f"License. {header} License {header} {plain.prose(rng, 5)} {apache} License", ["Apache-2.0"] * 3), (drawn, ["MIT"])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: [m["license"] for m in r["matches"]] for r in licenses.scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [names for _, names in cases]
+
+
 def test_alignment_is_a_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
