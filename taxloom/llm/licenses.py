@@ -9,7 +9,8 @@
    in the template propose where it begins, a stretch of the template's length there is aligned, the best supported first, and what an
    accepted copy leaves of the passage is searched again, at last in stretches of twice that length, as far as a copy may be drawn out.
 
-A document is reported with every template of coverage ``COVERAGE`` or more whose aligned words fill at least half of their span; of templates
+A document is reported with every template of coverage ``COVERAGE`` or more whose aligned words fill at least half of their span; a match lacks none
+of its template's numbers (other than 0) and has exactly its words of ``TELLING``, so that another version or variant is no match; of templates
 that align to overlapping words the one with the most aligned words stays (ties: higher coverage, smaller name).
 
 Null and empty texts have no passage. Rows are told apart by id and a hash of the text; repeated rows are reported alike. An empty
@@ -29,6 +30,12 @@ COVERAGE = 0.75
 #: Words between typical words of one passage at most.
 GAP = 12
 
+_BSD_HEAD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+             "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+             "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+             "documentation and/or other materials provided with the distribution.")
+_BSD_TAIL = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+             "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.")
 # License notices, as their licenses publish them or as they are usually abbreviated.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -45,7 +52,35 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+                "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                 "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                 "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+                 "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+            "above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+                  "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSD-2-Clause", _BSD_HEAD + " " + _BSD_TAIL),
+    ("BSD-3-Clause", _BSD_HEAD + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                     "derived from this software without specific prior written permission. " + _BSD_TAIL),
 )
+#: Words that tell licenses of one family apart: a match holds all that its template has, and no other.
+TELLING = frozenset("nc nd sa noncommercial noderivatives noderivs sharealike lesser affero".split())
 # Words that say nothing about a license.
 COMMON = frozenset("the of and to in a is be at by for with or as any this that not you may are it on an from all do so can use work person form file".split())
 _WORD = re.compile(r"[^\W_]+")
@@ -108,6 +143,7 @@ def copies(words: list[str], wanted: list[str], coverage: float = COVERAGE) -> l
     size = len(wanted)
     slack = max(2, int(size * (1 - coverage)))
     once = {w: i for i, w in enumerate(wanted) if wanted.count(w) == 1} or {w: wanted.index(w) for w in wanted}
+    told = {w for w in wanted if w in TELLING or w.isdigit() and w != "0"}
     out: list[tuple[int, int, int]] = []
     free = [(0, len(words))]
     for reach in (slack, size):
@@ -132,6 +168,8 @@ def copies(words: list[str], wanted: list[str], coverage: float = COVERAGE) -> l
             if not pairs:
                 continue
             begin, end = lo + pairs[0][0], lo + pairs[-1][0] + 1
+            if told - {wanted[y] for _, y in pairs} or TELLING.intersection(words[begin:end]) - told:
+                continue
             if len(pairs) >= coverage * size and 2 * len(pairs) >= end - begin:
                 out.append((begin, end, len(pairs)))
                 free.remove(room)

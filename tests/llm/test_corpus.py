@@ -200,6 +200,16 @@ def test_notices_with_repeated_words(spark):
     assert [got[i] for i in range(len(cases))] == [names for _, names in cases]
 
 
+def test_versions_and_variants_are_told_apart(spark):
+    cases = [("Licensed under CC BY 4.0.", ["CC-BY-4.0"]), ("Licensed under CC BY-NC 3.0.", []), ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+             ("This work is licensed under the GNU General Public License, version 1.", []), ("This work is licensed under the GNU Lesser General Public License, version 3.", []),
+             ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+             ("Licensed under the Apache License, Version 1.0.", []), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: [m["license"] for m in r["matches"]] for r in licenses.scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [names for _, names in cases]
+
+
 def test_alignment_is_a_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
