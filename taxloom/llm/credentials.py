@@ -6,7 +6,7 @@ non-overlapping within its kind, and weak parts: text that is only suspicious ne
 * ``assign``: a credential word, ``:`` or ``=``, and a value of 12 or more characters.  * ``access``: ``AKIA`` and capitals or digits, 18 or more.
 * ``hex``: 16 or more of 0-9 a-f.
 
-Weak parts are ``identifier`` (a short access id or a user or client id assignment), ``secret`` (a mixed token of 20 or more characters,
+Weak parts are ``identifier`` (a short access id or an assignment to a user, client or key id, login or email), ``secret`` (a mixed token of 20 or more characters,
 or an assignment whose value was too short) and ``endpoint`` (a URL or host of an api, auth or login service). Linking is an interval
 join: each weak part covers ``SCOPE`` characters around itself, and it is reported only if a part of a complementary role, weak or strong,
 begins inside. The text is laid on a grid of cells of ``SCOPE`` characters, each part stands in its own cell and the two beside it, and
@@ -39,14 +39,19 @@ ORDER = STRONG + WEAK
 ROLE = {"access": "identifier", "assign": "secret", "hex": "secret", "identifier": "identifier", "secret": "secret", "endpoint": "endpoint"}
 
 # re.A keeps \x20-style classes to ASCII; the credential words are spelled per letter so that no other letter folds to them.
-_WORD = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else "_?" for c in w) for w in ("password", "passwd", "secret", "token", "api_key"))
+_spelled = lambda *words: "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else "_?" for c in w) for w in words)
+_WORD = _spelled("password", "passwd", "secret", "token", "api_key")
+_OWNER, _FIELD, _ALONE = _spelled("client", "user", "account", "access", "login"), _spelled("id", "name", "key_id", "key"), _spelled("login", "email", "key_id")
 _ASSIGN = re.compile(rf"(?:{_WORD})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
-_IDENTIFIER = re.compile(r"(?:client|user|account|access)_?(?:id|name|key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.@-]{4,})")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,40}[0-9])(?=[A-Za-z0-9+/_=-]{0,40}[A-Z])(?=[A-Za-z0-9+/_=-]{0,40}[a-z])[A-Za-z0-9+/_=-]{20,}")
-_ENDPOINT = re.compile(r"https?://(?:api|auth|login|oauth)[A-Za-z0-9.-]*[A-Za-z0-9](?:/[A-Za-z0-9._~/-]*)?")
+_IDENTIFIER = re.compile(rf"(?:(?:{_OWNER})_?(?:{_FIELD})|{_ALONE})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.@-]{{4,}})")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+_MIXED = tuple(re.compile(c) for c in ("[0-9]", "[A-Z]", "[a-z]"))
+_URL = re.compile(r"[Hh][Tt][Tt][Pp][Ss]?://([A-Za-z0-9.-]*[A-Za-z0-9])(?::[0-9]+)?(/[A-Za-z0-9._~/-]*)?")
+#: A first host label that begins with such a word, or one that is such a word (with a version number) elsewhere in host or path.
+_SERVICE = re.compile(r"(?:api|auth|login|oauth)|.*?[./_~-](?:api|auth|login|oauth)[0-9]*(?:[./_~-]|\Z)")
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
@@ -62,8 +67,8 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     # maximal runs, so the runs of sixteen or more are the long ones among all runs
     out += [("hex", m.start(), m.end()) for m in _LONG_HEX.finditer(text)]
     if "://" in text:
-        out += [("endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
-    out += [("secret", m.start(), m.end()) for m in _TOKEN.finditer(text)]
+        out += [("endpoint", m.start(), m.end()) for m in _URL.finditer(text) if _SERVICE.match((m[1] + (m[2] or "")).lower())]
+    out += [("secret", m.start(), m.end()) for m in _TOKEN.finditer(text) if all(c.search(m[0]) for c in _MIXED)]
     return out
 
 

@@ -151,6 +151,20 @@ def test_secrets(spark):
     assert credentials.find_secrets(df.limit(0)).count() == 0 and credentials.redact(df.limit(0)).count() == 0
 
 
+def test_weak_parts_in_usual_forms(spark):
+    long = "abcdefghij" * 6 + "K7"
+    pairs = ["Username: joe.smith\nPassword: hunter2", "CLIENT_ID=abc12345 PASSWORD=abc", "USER_NAME = joe.smith token: abc", "AWS_SESSION_KEY_ID=abcd1234 secret=x1",
+             "Login: joe.smith Password: x1", "email: joe@example.org passwd=x1", "AWS_ACCESS_KEY_ID=abcd1234 token=x"]
+    for text in pairs:
+        assert {k for k, _, _ in credentials.spans_of(text)} == {"identifier", "secret"}, text
+    assert ("secret", 0, len(long)) in credentials.spans_of(long)
+    ends = {u: any(k == "endpoint" for k, _, _ in credentials.spans_of(u)) for u in (
+        "https://example.com/api/v1", "https://eu.api.example.com", "https://apis.example.com", "https://example.com:8443/oauth2/x", "HTTPS://my-auth.example.com", "https://example.com/author/x", "https://example.com/rapid")}
+    assert list(ends.values()) == [True] * 5 + [False] * 2
+    clean = credentials.redact(spark.createDataFrame([(1, pairs[0]), (2, f"https://example.com/api/v1 {long}")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in clean} == {1: "[secret]\n[secret]", 2: "[secret] [secret]"}
+
+
 def test_weak_parts_are_linked_as_by_brute_force(spark):
     rng = random.Random(2)
     parts = ["AKIAABCDEFGHIJ", "password: abc", "https://api.example.org/v1", "token = 0123456789abcdef", "client_id=joe9"]
