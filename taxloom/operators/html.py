@@ -2,28 +2,50 @@
 
 from __future__ import annotations
 
+import html as markup
+from html import entities
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taxloom import constants as C
 
+SEPARATOR = "\x1f"
+# The form of references, names that need no semicolon, and numbers that do not stand for themselves.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[^\t\n\f <&#;]{1,32};?)"
+OLD_NAMES = {k: v for k, v in entities.html5.items() if not k.endswith(";")}
+ODD_NUMBERS = {str(n): markup.unescape(f"&#{n};") for n in (
+    *range(0x20), *range(0x7F, 0xA0), *range(0xFDD0, 0xFDF0), *(plane + n for plane in range(0, 0x110000, 0x10000) for n in (0xFFFE, 0xFFFF)))}
+
 TOKENS = r"(?s)<!--.*?(?:-->|\z)|</?[A-Za-z][^>]*>|<|[^<]+"
 
 
+def _table(values: dict[str, str]) -> Column:
+    """A fixed table as a map that the optimizer folds into one literal; no key and no value holds the separator."""
+    return F.map_from_arrays(*[F.split(F.lit(SEPARATOR.join(x)), SEPARATOR) for x in (values.keys(), values.values())])
+
+
 def decoded(text: Column) -> Column:
-    """Numeric and the usual named character references as characters; others stay as they are."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), 0))
-
-    def character(ref: Column) -> Column:
-        hexadecimal = ref.rlike("^&#[xX]")
-        digits = F.regexp_extract(ref, "([0-9A-Fa-f]+);$", 1)
-        number = F.when(hexadecimal, digits).otherwise(F.conv(digits, 10, 16))
-        valid = F.conv(number, 16, 10).cast("bigint").between(1, 0x10FFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
-
-    out = F.aggregate(found, text, lambda t, ref: F.replace(t, ref, character(ref)))
-    for name, value in C.HTML_ENTITIES.items():  # the ampersand comes last, so that nothing is decoded twice
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
-    return out
+    """All character references of HTML5 as characters, in one pass, by the rules of ``html.unescape``: the semicolon may be missing after a
+    number and after the names of old, which may also begin a longer word; other names stay as they are."""
+    refs = F.regexp_extract_all(text, F.lit(REFERENCE), 0)
+
+    def named(ref: Column) -> Column:
+        name = F.substring(ref, 2, F.length(ref))
+        begun = [F.when(F.length(name) > n, F.concat(F.try_element_at(_table(OLD_NAMES), F.substring(name, 1, n)), F.substring(name, n + 1, F.length(name))))
+                 for n in range(max(map(len, OLD_NAMES)), 1, -1)]
+        return F.coalesce(F.try_element_at(_table(entities.html5), name), *begun, ref)
+
+    def numbered(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, "^&#[xX]?0*([0-9A-Fa-f]*);?$", 1)
+        short = F.substring(digits, 1, 9)  # nine digits are beyond the last character in either notation
+        number = F.coalesce(F.when(ref.rlike("^&#[xX]"), F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).cast("bigint"), F.lit(0))
+        good = (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF) & (F.length(digits) < 9)
+        plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(_table(ODD_NUMBERS), number.cast("string")), F.when(good, plain).otherwise(F.lit("\ufffd")))
+
+    values = F.transform(refs, lambda ref: F.when(ref.startswith("&#"), numbered(ref)).otherwise(named(ref)))
+    pieces = F.zip_with(F.split(text, REFERENCE), values, lambda t, value: F.concat(t, F.coalesce(value, F.lit(""))))
+    return F.when(F.size(refs) > 0, F.array_join(pieces, "")).otherwise(text)
 
 
 def block_text(html: Column) -> Column:

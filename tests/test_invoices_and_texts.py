@@ -80,3 +80,12 @@ def test_ids_markup_names(spark):
     assert sorted((r.page_id, r.text) for r in got if r.page_id != 4) == [
         (1, "T \na b \n | 1 | 2"), (2, "b"), (3, "q &lt; é€ 1 < 2"), (5, ""), (5, ""), (6, ""), (7, "one\n two \nthree")]
     assert [r.text for r in got if r.page_id == 4] == [None]
+
+
+def test_html_references_are_all_decoded(spark):
+    from html import entities, unescape
+
+    texts = ["caf&eacute; &uuml;&szlig;&laquo;&ntilde;&raquo; &amp;eacute; &amp;lt; &lt;", "&notit; &copy2024 &eacute &nosuch; &nosuch & &; a&b&#", "&#233;&#xE9 &#0;&#128;&#x80;&#xD800;&#1114112;&#99999999999;&#00065;&#x1;&#xFFFE;&#x1F600;",
+             "&#x00000041;&#120000000;&CounterClockwiseContourIntegral;&NotEqualTilde;", "".join(f"&{k}." for k in entities.html5), "", "plain"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", html.decoded(F.col("t")).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in got} == {i: unescape(t) for i, t in enumerate(texts)}
