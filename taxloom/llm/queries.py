@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taxloom.llm import chat, credentials, decontaminate, jaccard, licenses, mixture, pages, quality, tokens, urls
+from taxloom.llm import chat, credentials, decontaminate, jaccard, licenses, mixture, pages, quality, tokens, urls, whitening
 from taxloom.session import settle
 
 #: Rules that op10 applies: action, host, path.
@@ -126,6 +126,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -137,5 +142,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_secret_scans": op9_secret_scans,
     "op10_url_filters": op10_url_filters,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLE: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL}
