@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taxloom.llm import chat, credentials, decontaminate, jaccard, licenses, mixture, pages, quality, tokens, urls, whitening
+from taxloom.llm import chat, credentials, decontaminate, jaccard, licenses, mixture, pages, quality, tokens, tries, urls, whitening
 from taxloom.session import settle
 
 #: Rules that op10 applies: action, host, path.
@@ -126,6 +126,47 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+OP11_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, (4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+    string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, byte: xor(crc >> 8,
+      list_reduce(list_prepend(xor(crc, byte) & 255, list_transform(range(8), lambda i: 0::BIGINT)),
+        lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM rows)),
+given AS (SELECT h.conv_id, k AS depth, role, text FROM heads h JOIN rows r ON r.conv_id = h.base AND k <= h.h),
+counts AS (SELECT conv_id, count(*) AS n FROM given GROUP BY conv_id),
+made AS MATERIALIZED (
+  SELECT * FROM given UNION ALL
+  SELECT r.conv_id, k - h.h + coalesce(n, 0), role, text FROM rows r JOIN heads h USING (conv_id) LEFT JOIN counts USING (conv_id) WHERE k > h.h),
+paths AS MATERIALIZED (
+  SELECT conv_id, 0 AS depth, '' AS key, 0 AS words, '' AS up FROM heads UNION ALL
+  SELECT conv_id, depth, key, words, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY depth), '') FROM (
+    SELECT conv_id, depth, sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '' ) OVER (PARTITION BY conv_id ORDER BY depth)) AS key,
+      len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM made)),
+nodes AS MATERIALIZED (
+  SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, any_value(up) AS up FROM paths GROUP BY key),
+kids AS MATERIALIZED (SELECT up AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up),
+tree AS MATERIALIZED (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (key)),
+sums AS (
+  SELECT p.key, sum(CASE WHEN t.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((t.n_convs - 1) * t.words) AS saved
+  FROM tree t JOIN paths p ON p.conv_id = t.conv_id AND p.depth <= t.depth GROUP BY p.key),
+ends AS (
+  SELECT key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS digest FROM (
+    SELECT conv_id, key, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM paths) WHERE last GROUP BY key)
+SELECT t.conv_id, CAST(t.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, t.n_convs, t.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+FROM tree t JOIN sums USING (key) LEFT JOIN ends USING (key) LEFT JOIN nodes u ON t.depth > 0 AND u.key = t.up
+"""
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return found.withColumn("deviation", F.col("deviation").cast("long"))
@@ -142,6 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_secret_scans": op9_secret_scans,
     "op10_url_filters": op10_url_filters,
+    "op11_conversation_trie": op11_conversation_trie,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
-ORACLE: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL}
+ORACLE: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op11_conversation_trie": OP11_SQL}
