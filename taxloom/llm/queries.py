@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taxloom.llm import chat, credentials, decontaminate, jaccard, licenses, mixture, pages, quality, tokens, tries, urls, whitening
+from taxloom.llm import chat, credentials, decontaminate, jaccard, licenses, mixture, pages, quality, tokens, toxicity, tries, urls, whitening
 from taxloom.session import settle
 
 #: Rules that op10 applies: action, host, path.
@@ -167,6 +167,10 @@ FROM tree t JOIN sums USING (key) LEFT JOIN ends USING (key) LEFT JOIN nodes u O
 """
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return found.withColumn("deviation", F.col("deviation").cast("long"))
@@ -184,6 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scans": op9_secret_scans,
     "op10_url_filters": op10_url_filters,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_toxicity": op12_toxicity,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLE: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op11_conversation_trie": OP11_SQL}
