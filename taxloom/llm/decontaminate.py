@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from taxloom.llm.names import unused
 from taxloom.llm.sizes import if_small
 from taxloom.session import settle
 
@@ -105,20 +106,21 @@ def indexed(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Data
 
 def mark_hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Adds ``n_words, n_hit, items`` (sorted ids of items with a matching window) and ``contaminated`` to every document row."""
+    key, own, hashed, hint, w, true_ = unused([*documents.columns, "n_words", "n_hit", "items", "contaminated"], "id", "text", "hash", "hints", "w", "true")
     windows, anchors, index = indexed(documents, benchmark)
     starts = candidates_of(index, anchors).join(if_small(windows), "window_id")
-    hints = starts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", F.size("words").alias("size"), "phrase", "items")).alias("__hints"))
-    hints = settle(hints.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), "__hints"), "hints")
-    df = documents.withColumn("__hash", F.xxhash64("text"))
-    df = df.join(if_small(hints), df["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
-    df = df.withColumn("__w", words_of(F.col("text")))
-    true = F.filter("__hints", lambda c: F.array_join(F.slice("__w", c["start"] + 1, c["size"]), " ") == c["phrase"])
-    df = df.withColumns({"n_words": F.size("__w").cast("long"), "__true": F.when(F.col("__hints").isNotNull(), F.array_sort(true))})
+    hints = starts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", F.size("words").alias("size"), "phrase", "items")).alias(hint))
+    hints = settle(hints.select(F.col("doc_id").alias(key), F.col("text_hash").alias(own), hint), "hints")
+    df = documents.withColumn(hashed, F.xxhash64("text"))
+    df = df.join(if_small(hints), df["doc_id"].eqNullSafe(F.col(key)) & (F.col(hashed) == F.col(own)), "left")
+    df = df.withColumn(w, words_of(F.col("text")))
+    true = F.filter(hint, lambda c: F.array_join(F.slice(w, c["start"] + 1, c["size"]), " ") == c["phrase"])
+    df = df.withColumns({"n_words": F.size(w).cast("long"), true_: F.when(F.col(hint).isNotNull(), F.array_sort(true))})
     covered = F.aggregate(
-        "__true", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+        true_, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, c: F.struct((a["n"] + F.greatest(F.lit(0), c["start"] + c["size"] - F.greatest(c["start"], a["end"]))).alias("n"),
                               F.greatest(a["end"], c["start"] + c["size"]).alias("end")), lambda a: a["n"])
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("__true", lambda c: c["items"]))))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform(true_, lambda c: c["items"]))))
     df = df.withColumns({"n_hit": F.coalesce(covered, F.lit(0)).cast("long"), "items": F.coalesce(items, F.array().cast("array<string>"))})
     df = df.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    return df.drop("__hash", "__id", "__text", "__hints", "__w", "__true")
+    return df.drop(hashed, key, own, hint, w, true_)

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from taxloom.llm.components import components
+from taxloom.llm.names import unused
 from taxloom.llm.sizes import if_small
 from taxloom.llm.words import mixed, shingle_sets, slices
 from taxloom.session import settle
@@ -350,11 +351,12 @@ def keep_first(documents: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = joined.groupBy("root").agg(F.min(place).alias("first"))
     gone = joined.join(first, "root").where((F.col("text_hash") != F.col("first.text_hash")) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-    gone = settle(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct(), "gone")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text"))
+    key, own = unused(documents.columns, "id", "text")
+    gone = settle(gone.select(F.col("doc_id").alias(key), F.col("text_hash").alias(own)).distinct(), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(own))
     kept = documents.join(if_small(gone), same, "left_anti")
     again = settle(joined.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")), "again")
+        F.col("doc_id").alias(key), F.col("text_hash").alias(own)), "again")
     if again.isEmpty():
         return kept
     once = kept.join(if_small(again), same, "left_semi").dropDuplicates(["doc_id", "text"])
