@@ -11,7 +11,8 @@
 
 A document is reported with every template of coverage ``COVERAGE`` or more whose aligned words fill at least half of their span; a match lacks none
 of its template's numbers (other than 0) and has exactly its words of ``TELLING``, so that another version or variant is no match; of templates
-that align to overlapping words the one with the most aligned words stays (ties: higher coverage, smaller name).
+that align to overlapping words the one with the most aligned words stays (ties: higher coverage, smaller name, earlier place), and what overlaps
+none that stayed stays too.
 
 Null and empty texts have no passage. Rows are told apart by id and a hash of the text; repeated rows are reported alike. An empty
 table gives an empty result. Other columns are not read.
@@ -23,9 +24,13 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from taxloom.llm.sizes import if_small
+from taxloom.session import settle
+
 COVERAGE = 0.75
 #: Words between typical words of one passage at most.
 GAP = 12
@@ -247,21 +252,35 @@ def matches(found: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE) -
 
     done = ready.select(*key, "words", "license", "wanted").mapInArrow(
         run, "doc_id long, text_hash long, license string, begin long, end long, aligned long, coverage double")
-    # Overlapping matches are chained in the order of their places; the best of each chain stays.
+    # Matches that overlap, directly or through others, are a run. Best first, a match stays if it overlaps none that stayed.
     order = Window.partitionBy("doc_id", "text_hash").orderBy("begin", "end", "license")
     last = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    chained = done.withColumn("new", F.coalesce((F.col("begin") >= last).cast("int"), F.lit(1)))
-    chained = chained.withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    best = Window.partitionBy("doc_id", "text_hash", "chain").orderBy(F.desc("aligned"), F.desc("coverage"), "license", "begin")
-    return chained.withColumn("r", F.row_number().over(best)).where("r = 1").select(
-        "doc_id", "text_hash", "license", F.col("begin").alias("start"), "end", "aligned", "coverage")
+    runs = done.withColumn("new", F.coalesce((F.col("begin") >= last).cast("int"), F.lit(1)))
+    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy("doc_id", "text_hash", "run")
+    alone = settle(runs.withColumn("n", F.count("*").over(own)), "aligned")
+    columns = ["doc_id", "text_hash", "license", "begin", "end", "aligned", "coverage"]
+    picked = alone.where("n > 1").select(*columns, "run").groupBy("doc_id", "text_hash", "run").applyInPandas(
+        best_apart, "doc_id long, text_hash long, license string, begin long, end long, aligned long, coverage double")
+    return alone.where("n = 1").select(columns).unionByName(picked).withColumnRenamed("begin", "start")
+
+
+def best_apart(run: pd.DataFrame) -> pd.DataFrame:
+    """The matches of one run, best first, without those that overlap a better one that stayed: most aligned words, then coverage, name, place."""
+    ranked = run.assign(minus=-run["aligned"], less=-run["coverage"]).sort_values(["minus", "less", "license", "begin", "end"])
+    starts, ends, stay = [], [], []
+    for k, begin, end in zip(ranked.index, ranked["begin"], ranked["end"]):
+        at = bisect_left(starts, begin)  # taken matches are apart, so only the neighbours can overlap
+        if (at and ends[at - 1] > begin) or (at < len(starts) and starts[at] < end):
+            continue
+        starts.insert(at, begin)
+        ends.insert(at, end)
+        stay.append(k)
+    return run.loc[sorted(stay)].drop(columns="run")
 
 
 def scan_licenses(documents: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """Per document row: ``doc_id, matches``, an array of (start, end, license, aligned, coverage) in text order."""
-    from taxloom.llm.sizes import if_small
-    from taxloom.session import settle
-
     found = settle(passages(documents, templates, coverage), "passages")
     each = matches(found, templates, coverage).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "license", "aligned", "coverage"))).alias("matches"))

@@ -210,6 +210,35 @@ def test_versions_and_variants_are_told_apart(spark):
     assert [got[i] for i in range(len(cases))] == [names for _, names in cases]
 
 
+def test_what_overlaps_no_kept_match_is_kept():
+    import pandas as pd
+
+    rng = random.Random(7)
+    a_b_c = [(0, 10, 8), (8, 20, 12), (18, 30, 9)]  # b overlaps a and c, which are apart
+    runs = [a_b_c, [(0, 10, 9), (8, 20, 5), (18, 30, 9)]] + [[(b := rng.randint(0, 60), b + rng.randint(1, 15), rng.randint(1, 9)) for _ in range(rng.randint(1, 20))] for _ in range(50)]
+    for run in runs:
+        frame = pd.DataFrame([(1, 1, f"L{i}", b, e, n, n / 10, 1) for i, (b, e, n) in enumerate(run)],
+                             columns=["doc_id", "text_hash", "license", "begin", "end", "aligned", "coverage", "run"])
+        got = {(r.begin, r.end, r.license) for r in licenses.best_apart(frame).itertuples()}
+        taken = []
+        for r in sorted(frame.itertuples(), key=lambda r: (-r.aligned, -r.coverage, r.license, r.begin, r.end)):
+            if all(r.end <= t.begin or r.begin >= t.end for t in taken):
+                taken.append(r)
+        assert got == {(t.begin, t.end, t.license) for t in taken}
+    assert [len(licenses.best_apart(pd.DataFrame([(1, 1, f"L{i}", b, e, n, n / 10, 1) for i, (b, e, n) in enumerate(run)],
+            columns=["doc_id", "text_hash", "license", "begin", "end", "aligned", "coverage", "run"]))) for run in runs[:2]] == [1, 2]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(1, "a b c d e f g h", 1, "x", 2, 3, "q"), (2, "a b c d e f g h", 1, "x", 2, 3, "q"), (None, None, 1, "x", 2, 3, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id int, __text string, __w int, __hints int, __true string")
+    kept = jaccard.keep_first(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=plain.key) == sorted([rows[0], rows[2]], key=plain.key)
+    marked = decontaminate.mark_hits(df, spark.createDataFrame([("i", "c d e")], "item_id string, text string"))
+    assert marked.columns == [*df.columns, "n_words", "n_hit", "items", "contaminated"]
+    assert sorted((r["doc_id"] or 0, r["n_hit"], r["__w"]) for r in marked.collect()) == [(0, 0, 2), (1, 3, 2), (2, 3, 2)]
+
+
 def test_alignment_is_a_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
