@@ -8,7 +8,7 @@ not depend on its surroundings. So the count of a text is the sum over its disti
 2. A bucket counts the tokens of each of its distinct pre-tokens once, joins them to the frequencies and sums per document of a pack.
 3. The partial sums of a pack, one row per bucket, are added up.
 
-Pre-tokens of one byte are one token in a byte-level vocabulary and are added where they stand. Special strings are cut out first as
+Special strings are cut out first as
 the tokenizer does by default and count one token each. ``public_tokenizers`` is the place of the vocabulary files; the path is a parameter.
 
 Null text counts as empty (0 bytes, 0 tokens). Rows need no id: repeated rows, and equal or null ids, are counted one by one. An
@@ -27,8 +27,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from taxloom.llm.sizes import stored_bytes
+
 LIMIT = 512
-BUCKETS = 64
+#: Pre-tokens are dealt to at least so many buckets, and to one for so many bytes of the stored table: a bucket's size does not grow with the data.
+LEAST_BUCKETS, BUCKET_BYTES = 64, 4 << 20
 #: Documents and bytes of text packed together at most.
 PACK_ROWS, PACK_BYTES = 8192, 16 << 20
 #: Texts with other characters are cut by the library itself; for these the pattern engines cannot differ.
@@ -118,8 +121,10 @@ def _pack_rows(texts: list[str], path: str, buckets: int) -> list[dict]:
     return rows
 
 
-def count_tokens(documents: DataFrame, path: str, buckets: int = BUCKETS, limit: int = LIMIT) -> DataFrame:
+def count_tokens(documents: DataFrame, path: str, buckets: int | None = None, limit: int = LIMIT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` per document row. ``path`` names a tokenizer file that all workers can read."""
+    texts = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    buckets = buckets or max(LEAST_BUCKETS, -(-stored_bytes(texts) // BUCKET_BYTES))
 
     names = ["bucket", "pack", "ids", "n_bytes", "words", "lengths", "entries", "places", "times"]
 
@@ -181,7 +186,6 @@ def count_tokens(documents: DataFrame, path: str, buckets: int = BUCKETS, limit:
             total[:len(part)] += part
         return pd.DataFrame({"doc_id": pd.Series(list(head["ids"]), dtype=object), "n_bytes": head["n_bytes"], "n_tokens": total})
 
-    texts = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     packs = texts.mapInArrow(cut, "bucket int, pack string, ids array<string>, n_bytes array<long>, words binary, lengths binary, entries binary, "
                                   "places binary, times binary")
     sums = packs.groupBy("bucket").applyInPandas(meet, "pack string, ids array<string>, n_bytes array<long>, sums array<long>")
