@@ -9,7 +9,7 @@ non-overlapping within its kind, and weak parts: text that is only suspicious ne
 Weak parts are ``identifier`` (a short access id or an assignment to a user, client or key id, login or email), ``secret`` (a mixed token of 20 or more characters,
 or an assignment whose value was too short) and ``endpoint`` (a URL or host of an api, auth or login service). Linking is an interval
 join: each weak part covers ``SCOPE`` characters around itself, and it is reported only if a part of a complementary role, weak or strong,
-begins inside. The text is laid on a grid of cells of ``SCOPE`` characters, each part stands in its own cell and the two beside it, and
+begins inside and does not overlap it. The text is laid on a grid of cells of ``SCOPE`` characters, each part stands in its own cell and the two beside it, and
 within (row, cell) a sliding window looks for complements. A cell holds at most ``SCOPE`` parts per kind, so windows are bounded however
 long a text or hot a key is, and no pairs are written.
 
@@ -26,7 +26,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from taxloom.llm.sizes import BROADCAST_BYTES, stored_bytes
+from taxloom.llm.names import unused
+from taxloom.llm.sizes import if_small
 from taxloom.session import settle
 
 SCOPE = 200
@@ -98,9 +99,10 @@ def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     parts = parts.withColumns({"role": _role(F.col("kind")), "own": F.expr(f"start div {scope}")})
     placed = parts.withColumn("cell", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
     near = Window.partitionBy("row", "cell").orderBy("start").rangeBetween(-scope, scope)
-    others = F.array_except(F.collect_set("role").over(near), F.array("role"))
-    return placed.withColumn("others", others).where((F.col("cell") == F.col("own")) & F.col("kind").isin(*WEAK) & (F.size("others") > 0)).select(
-        "row", "kind", "start", "end")
+    around = placed.withColumn("around", F.collect_set(F.struct("role", "start", "end")).over(near))
+    # a part that lies over another one is the same characters read twice, not its complement
+    linked_ = F.exists("around", lambda o: (o["role"] != F.col("role")) & ((o["end"] <= F.col("start")) | (o["start"] >= F.col("end"))))
+    return around.where((F.col("cell") == F.col("own")) & F.col("kind").isin(*WEAK) & linked_).select("row", "kind", "start", "end")
 
 
 def find_secrets(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -141,13 +143,13 @@ def redact(documents: DataFrame) -> DataFrame:
 
     Documents are joined to their spans by id and a hash of the text; only documents with a span have a row there.
     """
+    key, own, found = unused(documents.columns, "id", "text", "spans")
     spans = settle(find_secrets(documents).where(F.size("spans") > 0).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__text"]), "spans")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text"))
-    small = stored_bytes(spans) <= BROADCAST_BYTES
-    joined = documents.join(F.broadcast(spans) if small else spans, same, "left")
-    dirty = F.col("__spans").isNotNull()
-    clean = joined.withColumn("text", F.when(dirty, F.pandas_udf(_cut, "string")(F.when(dirty, F.col("text")).otherwise(""), F.coalesce("__spans", F.array().cast(SPANS)))).otherwise(F.col("text")))
+        F.col("doc_id").alias(key), F.col("text_hash").alias(own), F.col("spans").alias(found)).dropDuplicates([key, own]), "spans")
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(own))
+    joined = documents.join(if_small(spans), same, "left")
+    dirty = F.col(found).isNotNull()
+    clean = joined.withColumn("text", F.when(dirty, F.pandas_udf(_cut, "string")(F.when(dirty, F.col("text")).otherwise(""), F.coalesce(found, F.array().cast(SPANS)))).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         clean = clean.withColumn("n_chars", F.when(dirty, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.select(*documents.columns)
+    return clean.drop(key, own, found)

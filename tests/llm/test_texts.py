@@ -121,6 +121,15 @@ def test_token_counts_equal_the_library(spark):
     assert tokens.count_tokens(df.limit(0), path).count() == 0
 
 
+def test_token_buckets_follow_the_size_of_the_table(spark, sf, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    usual = sorted(map(tuple, tokens.count_tokens(docs, path).collect()))
+    monkeypatch.setattr(tokens, "LEAST_BUCKETS", 1)
+    monkeypatch.setattr(tokens, "BUCKET_BYTES", 20_000)
+    assert sorted(map(tuple, tokens.count_tokens(docs, path).collect())) == usual
+
+
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
@@ -165,13 +174,27 @@ def test_weak_parts_in_usual_forms(spark):
     assert {r["doc_id"]: r["text"] for r in clean} == {1: "[secret]\n[secret]", 2: "[secret] [secret]"}
 
 
+def test_a_part_is_not_its_own_complement(spark):
+    rows = [(1, "client_id=AbCdef1234567890XYZ"), (2, "see https://api.example.com/v1/Users/GetUserById2 for more"), (3, "client_id=AbCdef1234567890XYZ password=x1")]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in credentials.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [], 3: ["identifier", "secret"]}
+
+
+def test_redaction_leaves_columns_of_any_name_alone(spark):
+    df = spark.createDataFrame([(1, "password: abcdefghijklmnop", 5, "a", "b", "c"), (None, "x", 6, "a", None, "c")], "doc_id long, text string, __id int, __TEXT string, __spans string, `a.b` string")
+    got = sorted(map(tuple, credentials.redact(df).collect()), key=plain.key)
+    assert credentials.redact(df).columns == df.columns
+    assert got == sorted([(1, "[secret]", 5, "a", "b", "c"), (None, "x", 6, "a", None, "c")], key=plain.key)
+
+
 def test_weak_parts_are_linked_as_by_brute_force(spark):
     rng = random.Random(2)
-    parts = ["AKIAABCDEFGHIJ", "password: abc", "https://api.example.org/v1", "token = 0123456789abcdef", "client_id=joe9"]
+    parts = ["client_id=AbCdef1234567890XYZ", "https://api.example.com/v1/Users/GetUserById2", "AKIAABCDEFGHIJ", "password: abc", "https://api.example.org/v1", "token = 0123456789abcdef", "client_id=joe9"]
     rows = [(i, "".join(rng.choice(parts) + " " * rng.randint(1, 260) for _ in range(rng.randint(1, 60)))) for i in range(12)]
     got = {r["doc_id"]: {tuple(s) for s in r["spans"]} for r in credentials.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, text in rows:
         found = set(credentials.spans_of(text))
         role = lambda k: credentials.ROLE[k]
-        want = {p for p in found if p[0] in credentials.STRONG or any(role(q[0]) != role(p[0]) and abs(q[1] - p[1]) <= credentials.SCOPE for q in found)}
+        want = {p for p in found if p[0] in credentials.STRONG or any(
+            role(q[0]) != role(p[0]) and abs(q[1] - p[1]) <= credentials.SCOPE and (q[2] <= p[1] or q[1] >= p[2]) for q in found)}
         assert got[i] == want
