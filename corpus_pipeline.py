@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taxloom.llm import credentials, decontaminate, jaccard, mixture, quality
+from taxloom.llm.names import unused
 from taxloom.llm.sizes import if_small
 from taxloom.session import prepare, settle
 
@@ -21,8 +22,9 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not in ``gone`` (``doc_id, text_hash, lang``). Verdicts are stored as narrow rows and meet the documents
     here: a filter on computed columns would make Spark compute them again inside the condition. The texts are shuffled only if the
     table of what goes is too large to send to every task."""
-    keys = settle(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("lang").alias("__lang")).distinct(), "gone")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")) & F.col("lang").eqNullSafe(F.col("__lang"))
+    key, own, lang = unused(docs.columns, "id", "text", "lang")
+    keys = settle(gone.select(F.col("doc_id").alias(key), F.col("text_hash").alias(own), F.col("lang").alias(lang)).distinct(), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(own)) & F.col("lang").eqNullSafe(F.col(lang))
     return docs.join(if_small(keys), same, "left_anti")
 
 
