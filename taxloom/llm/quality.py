@@ -2,18 +2,14 @@
 
 Every rule rejects a document whose feature lies above a cutoff. Labelled documents decide the cutoffs: a cutoff is *certified* for a
 stratum (a language) when the exact binomial tail shows that it rejects at most a share ``alpha`` of good documents there. Along cutoffs
-tried from the mildest to the strictest and fixed beforehand, testing stops at the first that fails, which needs no further correction. Every
-stratum has ``delta`` / strata as its error probability, and its number of good labels, which is known before any feature is looked at, decides what it tests:
+tried from the mildest to the strictest and fixed beforehand, testing stops at the first that fails, which needs no further correction.
 
-* *rules*: with enough labels to certify a single rule, each rule has a sequence of its own, and share and error are divided among the rules
-  (Bonferroni). Of a rule's certified cutoffs the one that rejects the most bad and the fewest good documents is used; ties go to the mildest.
-* *path*: with fewer labels all rules share one sequence (``path_of``: every step tightens one rule, in turn) with the whole share and error. A
-  step that fails ends the sequence for all rules.
-* *parent*: with too few for that, the stratum takes the cutoffs of all labelled documents together, tested in one of the two ways with one stratum's
-  error probability, which such strata leave unused. These reject at most ``alpha`` of the good documents of all labelled strata together; of the
-  stratum alone nothing is known.
-
-A language without any label, and all if even the parent has too few (``least_labels``), reject nothing beyond the base rules.
+All rules of a stratum share one such sequence (``path_of``): every step tightens one rule, in turn, and is tested with all that is in force by
+then, so the whole ``alpha`` bounds what the rules reject together. Every stratum has ``delta`` / strata as its error probability (Bonferroni over
+strata), so with a chance of ``1 - delta`` no stratum at all loses more than ``alpha`` of its good documents. Of the certified steps the one that
+rejects the most bad and the fewest good documents is used; ties go to the mildest. Every stratum is treated alike, whatever its number of labels: one
+that cannot certify the first step (with no false rejection it takes ``least_labels`` good labels), and a language without labels, reject
+nothing beyond the base rules.
 
 Null text counts as empty. Null languages form a stratum of their own. Documents without labels, labels without documents and
 null labels play no part in choosing; a document with several labels is good only if all say so. Repeated rows are judged alike. Empty
@@ -26,11 +22,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from taxloom.llm.sizes import if_small
 from taxloom.session import settle
 
 SPACES = r"[\x20\x09-\x0D]+"
-ALPHA, DELTA = 0.01, 0.05
+#: The share of a stratum's good documents that may be lost, and the chance that any stratum loses more.
+ALPHA, DELTA = 0.05, 0.05
 #: Feature and its cutoffs, mildest first. Chosen before any data were seen, as the guarantee asks.
 RULES: dict[str, tuple[float, ...]] = {
     "symbol_share": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03),
@@ -112,16 +108,6 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when((n > 0) & (k < n * p), F.aggregate(terms, start, step, lambda a: F.least(a["sum"], F.lit(1.0)))).otherwise(1.0)
 
 
-def choose_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,
-                   rules: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
-    """One row per stratum and rule with a certified cutoff: ``lang, rule, cutoff``.
-
-    ``measured`` needs ``doc_id``, ``lang`` and the features; ``labels`` needs ``doc_id`` and ``quality`` (1: good).
-    """
-    rules = rules or RULES
-    return _certified(_labelled(measured, labels, rules), rules, alpha, delta, dict.fromkeys(rules, len(rules)))
-
-
 def _labelled(measured: DataFrame, labels: DataFrame, rules: dict[str, tuple[float, ...]]) -> DataFrame:
     """``lang, good`` and the features of the labelled documents that pass the base rules."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
@@ -129,46 +115,6 @@ def _labelled(measured: DataFrame, labels: DataFrame, rules: dict[str, tuple[flo
     return measured.where(~F.col("base_failed")).select("doc_id", "lang", *rules).join(own, "doc_id").select("lang", "good", *rules)
 
 
-def _certified(held: DataFrame, rules: dict[str, tuple[float, ...]], alpha: float, delta: float, parts: dict[str, int], strata: Column | None = None) -> DataFrame:
-    """``lang, rule, cutoff`` over labelled rows. A rule has the ``parts``-th part of ``alpha`` and of a stratum's ``delta``; ``strata`` is their number, else counted."""
-    levels = F.array(*[
-        F.struct(F.lit(r).alias("rule"), sum((F.col(r) > c).cast("int") for c in cuts).alias("level")) for r, cuts in rules.items()])
-    counts = held.select("lang", "good", F.explode(levels).alias("x")).groupBy("lang", "x.rule", "x.level").agg(
-        F.sum(F.col("good").cast("long")).alias("good"), F.count("*").alias("n"))
-    # Every stratum gets every level of every rule: level i means "rejected by the i-th cutoff or a milder one".
-    grid = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i + 1).alias("level"), F.lit(c).alias("cutoff"))
-                     for r, cuts in rules.items() for i, c in enumerate(cuts)])
-    zero = F.lit(0).cast("long")
-    full = counts.select("lang", "rule", "level", F.lit(None).cast("double").alias("cutoff"), "good", "n").unionByName(
-        counts.select("lang").distinct().select("lang", F.explode(grid).alias("g")).select(
-            "lang", "g.rule", "g.level", "g.cutoff", zero.alias("good"), zero.alias("n"))
-    ).groupBy("lang", "rule", "level").agg(F.max("cutoff").alias("cutoff"), F.sum("good").alias("good"), F.sum("n").alias("n"))
-    whole = Window.partitionBy("lang", "rule")
-    # A document of level l is rejected by the last l cutoffs of the list read backwards, that is by every cutoff below its value.
-    above = whole.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = full.withColumn("all_good", F.sum("good").over(whole))
-    counted = F.size(F.collect_set(F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))).over(Window.partitionBy()))
-    # Cutoffs fall along the list, so a value that only passes the last l of them has level l: cutoff i rejects levels > size - i.
-    sizes = F.create_map(*[F.lit(x) for r, cuts in rules.items() for x in (r, len(cuts))])
-    turned = ranked.withColumns({"hit_good": F.sum("good").over(above), "hit": F.sum("n").over(above), "strata": counted if strata is None else strata})
-    hits = turned.where(F.col("level") > 0).select(
-        "lang", "rule", "strata", "all_good", (sizes[F.col("rule")] + 1 - F.col("level")).alias("level"), "hit_good", "hit")
-    cuts = full.where(F.col("cutoff").isNotNull()).select("lang", "rule", "level", "cutoff")
-    same = [cuts["lang"].eqNullSafe(hits["lang"]), cuts["rule"] == hits["rule"], cuts["level"] == hits["level"]]
-    tried = cuts.join(hits, same).select(cuts["lang"], cuts["rule"], cuts["level"], "cutoff", "strata", "all_good", "hit_good", "hit")
-    fine = F.lit(False)
-    for part in sorted(set(parts.values())):
-        tail = binomial_tail(F.col("hit_good"), F.col("all_good"), alpha / part)
-        fine = F.when(F.col("rule").isin(*[r for r in rules if parts[r] == part]), tail <= F.lit(delta / part) / F.col("strata")).otherwise(fine)
-    passed = tried.withColumn("fine", fine)
-    order = Window.partitionBy("lang", "rule").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
-    certified = passed.withColumn("fine", F.min(F.col("fine").cast("int")).over(order)).where("fine = 1")
-    gain = F.col("hit") - 2 * F.col("hit_good")
-    best = Window.partitionBy("lang", "rule").orderBy(F.desc("gain"), "level")
-    return certified.withColumn("gain", gain).where("gain > 0").withColumn("r", F.row_number().over(best)).where("r = 1").select(
-        "lang", "rule", "cutoff")
-
-
 def path_of(rules: dict[str, tuple[float, ...]]) -> list[dict[str, float]]:
     """The cutoffs in force at each step: the rules' first cutoffs come in one after the other, then their second ones, and so on."""
     steps: list[dict[str, float]] = []
@@ -186,37 +132,29 @@ def least_labels(alpha: float, delta: float) -> int:
 
 def certify(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,
             rules: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
-    """As ``choose_cutoffs``, each stratum in the way its number of good labels allows: ``lang, rule, cutoff, way``."""
+    """The cutoffs in force, one row per stratum and rule: ``lang, rule, cutoff``.
+
+    ``measured`` needs ``doc_id``, ``lang``, ``base_failed`` and the features; ``labels`` needs ``doc_id`` and ``quality`` (1: good).
+    """
     rules = rules or RULES
     steps = path_of(rules)
-    # How many steps of the path reject a row; they are nested, so step i rejects what more than len(steps) - i of them reject.
-    rejected = [F.coalesce(F.greatest(*[F.col(r) > c for r, c in s.items()], F.lit(False)), F.lit(False)).cast("int") for s in steps]
-    held = settle(_labelled(measured, labels, rules), "labelled").withColumn("path", sum(rejected).cast("double"))
-    sizes = settle(held.groupBy("lang").agg(F.sum(F.col("good").cast("long")).alias("n")), "strata")
-    strata, n_all = sizes.agg(F.count("*"), F.sum("n")).first()
-    strata = max(strata, 1)
-    single, joint = (least_labels(alpha / part, delta / part / strata) for part in (len(rules), 1))
-    n = F.col("n")
-    ways = sizes.select(F.col("lang").alias("own"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("key"),
-                        F.when(n >= single, "rules").when(n >= joint, "path").otherwise("parent").alias("way"))
-    # The parent is a stratum among the others; its rows are counted per level at once, like theirs.
-    key = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
-    both = held.withColumn("lang", F.explode(F.array(key, F.lit("*"))))
-    found = _certified(both, {**rules, "path": tuple(float(i) for i in reversed(range(len(steps))))}, alpha, delta,
-                       {**dict.fromkeys(rules, len(rules)), "path": 1}, F.lit(strata))
-    found = settle(found, "certified")
+    # Steps only tighten, so a row is known by the first step that rejects it.
+    rejects = [F.coalesce(F.greatest(*[F.col(r) > c for r, c in s.items()], F.lit(False)), F.lit(False)).cast("int") for s in steps]
+    held = _labelled(measured, labels, rules).withColumn("step", F.lit(len(steps)) - sum(rejects))
+    counts = settle(held.groupBy("lang", "step").agg(F.sum(F.col("good").cast("long")).alias("good"), F.count("*").alias("n")), "labelled")
+    strata = counts.select(F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))).distinct().count()
+    none = F.lit(0).cast("long")
+    every = counts.select("lang").distinct().select("lang", F.explode(F.sequence(F.lit(0), F.lit(len(steps)))).alias("step"), none.alias("good"), none.alias("n"))
+    full = counts.unionByName(every).groupBy("lang", "step").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    own = Window.partitionBy("lang")  # one row per step and stratum
+    so_far = own.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    tried = full.select("lang", "step", F.sum("good").over(own).alias("all_good"), F.sum("good").over(so_far).alias("hit_good"), F.sum("n").over(so_far).alias("hit"))
+    tried = tried.where(F.col("step") < len(steps)).withColumn("fine", (binomial_tail(F.col("hit_good"), F.col("all_good"), alpha) <= delta / max(strata, 1)).cast("int"))
+    certified = tried.withColumn("fine", F.min("fine").over(so_far)).where("fine = 1")
+    certified = certified.withColumn("gain", F.col("hit") - 2 * F.col("hit_good")).where("gain > 0")
+    best = certified.withColumn("r", F.row_number().over(own.orderBy(F.desc("gain"), "step"))).where("r = 1")
     named = F.array(*[F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff")) for r, c in s.items()]) for s in steps])
-    as_rules = found.where(F.col("rule") != "path")
-    as_path = found.where(F.col("rule") == "path").select(
-        F.col("lang"), F.explode(F.element_at(named, (F.lit(len(steps)) - F.col("cutoff")).cast("int"))).alias("x")).select("lang", "x.*")
-
-    def of(way: str, cutoffs: DataFrame) -> DataFrame:
-        mine = ways.where(F.col("way") == way)
-        return cutoffs.join(if_small(mine), F.col("lang") == F.col("key")).select(F.col("own").alias("lang"), "rule", "cutoff", "way")
-
-    whole = (as_rules if (n_all or 0) >= single else as_path).where("lang = '*'").select("rule", "cutoff")
-    below = whole.crossJoin(F.broadcast(ways.where("way = 'parent'"))).select(F.col("own").alias("lang"), "rule", "cutoff", "way")
-    return of("rules", as_rules).unionByName(of("path", as_path)).unionByName(below)
+    return best.select("lang", F.explode(F.element_at(named, F.col("step") + 1)).alias("x")).select("lang", "x.*")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, rules: dict[str, tuple[float, ...]] | None = None) -> DataFrame:

@@ -34,23 +34,23 @@ def test_binomial_tail(spark):
 
 def cutoffs_of(rows, rules, alpha, delta):
     """The certified cutoffs, from the definition: rows of (lang, good, values)."""
-    langs = {r[0] for r in rows}
+    langs, names = {r[0] for r in rows}, list(rules)
+    steps = quality.path_of(rules)
     out = set()
     for lang in langs:
         own = [r for r in rows if r[0] == lang]
         good = [r for r in own if r[1]]
-        for i, (rule, cuts) in enumerate(rules.items()):
-            best = None
-            for level, cut in enumerate(cuts):
-                k, n, p = sum(r[2][i] > cut for r in good), len(good), alpha / len(rules)
-                tail = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) if n and k < n * p else 1.0
-                if tail > delta / len(rules) / len(langs):
-                    break
-                gain = sum(r[2][i] > cut for r in own) - 2 * k
-                if gain > 0 and (best is None or gain > best[0]):
-                    best = (gain, level, cut)
-            if best:
-                out.add((lang, rule, best[2]))
+        best = None
+        for step in steps:
+            hit = lambda r: any(r[2][names.index(rule)] > cut for rule, cut in step.items())  # noqa: E731, B023
+            k, n = sum(map(hit, good)), len(good)
+            tail = sum(math.comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1)) if n and k < n * alpha else 1.0
+            if tail > delta / len(langs):
+                break
+            gain = sum(map(hit, own)) - 2 * k
+            if gain > 0 and (best is None or gain > best[0]):
+                best = (gain, step)
+        out |= {(lang, rule, cut) for rule, cut in best[1].items()} if best else set()
     return out
 
 
@@ -63,28 +63,28 @@ def test_cutoffs_are_those_of_the_definition(spark):
         rows.append((lang, good, (round(rng.random() * (0.32 if good else 1), 3), round(rng.random() ** (6 if good else 1), 3))))
     measured = spark.createDataFrame([(i, r[0], False, *r[2]) for i, r in enumerate(rows)], "doc_id long, lang string, base_failed boolean, a double, b double")
     labels = spark.createDataFrame([(i, int(r[1])) for i, r in enumerate(rows)] + [(0, int(rows[0][1])), (None, 1), (1, None), (10**9, 1)], "doc_id long, quality int")
-    got = quality.choose_cutoffs(measured, labels, 0.1, 0.05, rules)
+    got = quality.certify(measured, labels, 0.1, 0.05, rules)
     assert {tuple(r) for r in got.collect()} == cutoffs_of(rows, rules, 0.1, 0.05)
     judged = quality.judge(measured, got, rules).select("doc_id", "kept").collect()
     cuts = {(lang, rule): c for lang, rule, c in cutoffs_of(rows, rules, 0.1, 0.05)}
     for r in judged:
         lang, _, values = rows[r["doc_id"]]
         assert r["kept"] == all(v <= cuts.get((lang, rule), 9) for v, rule in zip(values, rules, strict=True))
-    assert quality.choose_cutoffs(measured, labels.limit(0), 0.1, 0.05, rules).count() == 0  # no labels: nothing certified
+    assert quality.certify(measured, labels.limit(0), 0.1, 0.05, rules).count() == 0  # no labels: nothing certified
 
 
-def test_cutoffs_by_number_of_labels(spark):
-    """Good documents lie low, bad ones high; de has labels for the shared sequence only, fr for none, it has no label at all."""
-    rows = [(lang, i < good, 0.01 if i < good else 0.2) for lang, good, bad in (("en", 2000, 30), ("de", 470, 30), ("fr", 40, 30), (None, 460, 5), ("it", 9, 9)) for i in range(good + bad)]
+def test_strata_with_few_labels_keep_the_base_rules(spark):
+    """Good documents lie low, bad ones high; every stratum is tested alike, so fr and it, with too few labels or none, certify nothing."""
+    least = quality.least_labels(quality.ALPHA, quality.DELTA / 4)
+    rows = [(lang, i < good, 0.01 if i < good else 0.2) for lang, good, bad in (("en", 2000, 30), ("de", least, 30), ("fr", least - 1, 30), (None, least + 20, 5), ("it", 9, 9)) for i in range(good + bad)]
     measured = spark.createDataFrame([(i, lang, False, x, 0.0, 0.0) for i, (lang, _, x) in enumerate(rows)],
                                      "doc_id long, lang string, base_failed boolean, symbol_share double, upper_share double, dup_line_share double")
     labels = spark.createDataFrame([(i, int(good)) for i, (lang, good, _) in enumerate(rows) if lang != "it"], "doc_id long, quality int")
     cutoffs = quality.certify(measured, labels)
-    assert {(r["lang"], r["way"]) for r in cutoffs.collect()} == {("en", "rules"), ("de", "path"), ("fr", "parent"), (None, "path")}
+    assert {r["lang"] for r in cutoffs.collect()} == {"en", "de", None}
     kept = quality.judge(measured, cutoffs).select("doc_id", "kept").collect()
-    assert all(r["kept"] == (rows[r["doc_id"]][0] == "it" or rows[r["doc_id"]][1]) for r in kept) and len(kept) == len(rows)
-    few = labels.where("doc_id % 20 = 0")
-    assert quality.certify(measured, few).count() == quality.certify(measured, labels.limit(0)).count() == 0
+    assert all(r["kept"] == (rows[r["doc_id"]][0] in ("it", "fr") or rows[r["doc_id"]][1]) for r in kept) and len(kept) == len(rows)
+    assert quality.certify(measured, labels.where("doc_id % 400 = 0")).count() == quality.certify(measured, labels.limit(0)).count() == 0
     # every tenth good German document is junk-like: its sequence ends before the junk, whatever the other languages say
     mixed = measured.withColumn("symbol_share", F.when((F.col("lang") == "de") & (F.col("doc_id") % 10 == 0), 0.2).otherwise(F.col("symbol_share")))
     assert quality.judge(mixed, quality.certify(mixed, labels)).where("lang = 'de' and not kept").count() == 0
