@@ -62,13 +62,13 @@ verdict AS (SELECT *, CASE WHEN errors > 0 OR significant > 0 THEN 'flagged' ELS
 # --- reconciliation --------------------------------------------------------------------------------
 
 SIDES = r"""
-ledger AS (SELECT 'a_' || o_orderkey || '_' || p.part AS row_id, o_orderkey * 2 + p.part AS ordinal, o_orderkey AS k,
+ledger AS MATERIALIZED (SELECT 'a_' || o_orderkey || '_' || p.part AS row_id, o_orderkey * 2 + p.part AS ordinal, o_orderkey AS k,
   CASE WHEN o_orderkey % 20 IN (7, 11) THEN NULL WHEN o_orderkey % 40 = 8 THEN 'DUP-X-' || (o_orderkey % 400)
        ELSE 'INV-A-' || o_orderkey END AS reference,
   CAST(o_orderdate AS DATE) AS date, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
   'Lot ' || translate(lpad(CAST(o_orderkey // 3 AS VARCHAR), 8, '0'), '0123456789', 'abcdefghij') AS description
   FROM orders, (VALUES (0), (1)) p(part) WHERE p.part = 0 OR o_orderkey % 20 = 11),
-base AS (SELECT o_orderkey AS k, o_orderkey % 20 AS kind, CAST(o_totalprice AS DECIMAL(18,2)) AS amt,
+base AS MATERIALIZED (SELECT o_orderkey AS k, o_orderkey % 20 AS kind, CAST(o_totalprice AS DECIMAL(18,2)) AS amt,
   CAST(o_orderdate AS DATE) AS day, CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 0.40, 2) AS DECIMAL(18,2)) AS p1,
   CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 0.35, 2) AS DECIMAL(18,2)) AS p2 FROM orders),
 parts AS (
@@ -79,7 +79,7 @@ parts AS (
   UNION ALL SELECT k, kind, day, 2, CAST(amt - p1 AS DECIMAL(18,2)) FROM base WHERE kind = 2 OR k % 40 = 24
   UNION ALL SELECT k, kind, day, 2, p2 FROM base WHERE kind = 3
   UNION ALL SELECT k, kind, day, 3, CAST(amt - p1 - p2 AS DECIMAL(18,2)) FROM base WHERE kind = 3),
-statement AS (SELECT 'b_' || k || '_' || part AS row_id, k * 4 + part AS ordinal, k,
+statement AS MATERIALIZED (SELECT 'b_' || k || '_' || part AS row_id, k * 4 + part AS ordinal, k,
   CASE WHEN kind IN (2, 3, 4, 5, 6, 7, 9, 11) THEN NULL WHEN k % 40 = 8 THEN 'dup x ' || (k % 400) ELSE 'inv a ' || k END AS reference,
   day + CAST(CASE WHEN kind IN (2, 3) THEN part WHEN kind = 4 THEN part * 20 WHEN kind = 5 THEN 2 WHEN kind = 6 THEN 1 ELSE 0 END AS INTEGER) AS date,
   amount, CASE WHEN kind <> 4 THEN 'Lot ' || translate(lpad(CAST(k // 3 AS VARCHAR), 8, '0'), '0123456789', 'abcdefghij') END AS description
@@ -88,43 +88,41 @@ statement AS (SELECT 'b_' || k || '_' || part AS row_id, k * 4 + part AS ordinal
 PASS1 = r"""
 ra AS (SELECT *, regexp_replace(lower(trim(reference)), '[^\p{L}\p{N}]', '', 'g') AS rk FROM ledger),
 rb AS (SELECT *, regexp_replace(lower(trim(reference)), '[^\p{L}\p{N}]', '', 'g') AS rk FROM statement),
-ua AS (SELECT rk, min(row_id) AS row_id FROM ra WHERE rk <> '' GROUP BY rk HAVING count(*) = 1),
-ub AS (SELECT rk, min(row_id) AS row_id FROM rb WHERE rk <> '' GROUP BY rk HAVING count(*) = 1),
-p1 AS (SELECT a.row_id AS row_a, b.row_id AS row_b, a.amount AS amt_a, b.amount AS amt_b,
-  abs(a.amount - b.amount) <= 0.01 AS agrees
-  FROM ua JOIN ub USING (rk) JOIN ledger a ON a.row_id = ua.row_id JOIN statement b ON b.row_id = ub.row_id),
-p1g AS (SELECT *, NOT agrees AND least(amt_a, amt_b) > 0 AND abs(greatest(amt_a, amt_b) - least(amt_a, amt_b) - 0.15 * least(amt_a, amt_b))
+ua AS (SELECT rk, any_value(row_id) AS row_a, any_value(amount) AS amt_a FROM ra WHERE rk <> '' GROUP BY rk HAVING count(*) = 1),
+ub AS (SELECT rk, any_value(row_id) AS row_b, any_value(amount) AS amt_b FROM rb WHERE rk <> '' GROUP BY rk HAVING count(*) = 1),
+p1 AS MATERIALIZED (SELECT row_a, row_b, amt_a, amt_b, abs(amt_a - amt_b) <= 0.01 AS agrees FROM ua JOIN ub USING (rk)),
+p1g AS MATERIALIZED (SELECT *, NOT agrees AND least(amt_a, amt_b) > 0 AND abs(greatest(amt_a, amt_b) - least(amt_a, amt_b) - 0.15 * least(amt_a, amt_b))
   <= 0.005 * least(amt_a, amt_b) AS possible_vat_gap FROM p1)
 """
 PASS2 = """
-la AS (SELECT * FROM ledger WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE p1.row_a = ledger.row_id)),
-lb AS (SELECT * FROM statement WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE p1.row_b = statement.row_id)),
+la AS MATERIALIZED (SELECT * FROM ledger WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE p1.row_a = ledger.row_id)),
+lb AS MATERIALIZED (SELECT * FROM statement WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE p1.row_b = statement.row_id)),
 va AS (SELECT amount, min(row_id) AS row_id FROM la GROUP BY amount HAVING count(*) = 1),
 vb AS (SELECT amount, min(row_id) AS row_id FROM lb GROUP BY amount HAVING count(*) = 1),
-p2 AS (SELECT va.row_id AS row_a, vb.row_id AS row_b, amount FROM va JOIN vb USING (amount))
+p2 AS MATERIALIZED (SELECT va.row_id AS row_a, vb.row_id AS row_b, amount FROM va JOIN vb USING (amount))
 """
 PASS3 = """
-ma AS (SELECT * FROM la WHERE NOT EXISTS (SELECT 1 FROM p2 WHERE p2.row_a = la.row_id)),
-mb AS (SELECT * FROM lb WHERE NOT EXISTS (SELECT 1 FROM p2 WHERE p2.row_b = lb.row_id)),
+ma AS MATERIALIZED (SELECT * FROM la WHERE NOT EXISTS (SELECT 1 FROM p2 WHERE p2.row_a = la.row_id)),
+mb AS MATERIALIZED (SELECT * FROM lb WHERE NOT EXISTS (SELECT 1 FROM p2 WHERE p2.row_b = lb.row_id)),
 seek AS (SELECT ma.*, amount + d.x AS want FROM ma, (VALUES (-0.01), (0.00), (0.01)) d(x)),
-cand AS (SELECT s.row_id AS row_a, mb.row_id AS row_b, mb.ordinal AS ord_b FROM seek s JOIN mb ON mb.amount = s.want
+cand AS MATERIALIZED (SELECT s.row_id AS row_a, mb.row_id AS row_b, mb.ordinal AS ord_b FROM seek s JOIN mb ON mb.amount = s.want
   WHERE abs(datediff('day', s.date, mb.date)) <= 3),
 wants AS (SELECT row_b, count(*) AS n_wanting FROM cand GROUP BY row_b),
 per_a AS (SELECT row_a, count(*) AS n_candidates, max(n_wanting) AS n_wanting, min(cand.row_b) AS pick, arg_min(cand.row_b, ord_b) AS first_b
   FROM cand JOIN wants USING (row_b) GROUP BY row_a),
-items AS (
+items AS MATERIALIZED (
   SELECT 'review_amount_mismatch_' || row_a AS item_id, 'amount_mismatch' AS kind, 0 AS n_candidates, row_a, row_b, possible_vat_gap, NULL AS pick
     FROM p1g WHERE NOT agrees
   UNION ALL SELECT 'review_' || ma.row_id, CASE WHEN p.row_a IS NULL THEN 'unmatched' WHEN p.n_candidates = 1 AND p.n_wanting = 1 THEN 'fuzzy_match'
       ELSE 'ambiguous' END, coalesce(p.n_candidates, 0), ma.row_id,
       CASE WHEN p.n_candidates = 1 AND p.n_wanting = 1 THEN p.pick END, false, p.pick FROM ma LEFT JOIN per_a p ON p.row_a = ma.row_id
   UNION ALL SELECT 'review_' || row_id, 'unmatched', 0, NULL, row_id, false, NULL FROM mb WHERE NOT EXISTS (SELECT 1 FROM cand WHERE cand.row_b = mb.row_id)),
-numbered AS (SELECT i.*, coalesce(a.ordinal // 2, b.ordinal // 4) AS n, a.ordinal AS ord_a FROM items i LEFT JOIN ledger a ON a.row_id = i.row_a
+numbered AS MATERIALIZED (SELECT i.*, coalesce(a.ordinal // 2, b.ordinal // 4) AS n, a.ordinal AS ord_a FROM items i LEFT JOIN ledger a ON a.row_id = i.row_a
   LEFT JOIN statement b ON b.row_id = i.row_b),
-reviewed AS (SELECT *, CASE n % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'dismissed' END AS decision,
+reviewed AS MATERIALIZED (SELECT *, CASE n % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'dismissed' END AS decision,
   CASE WHEN n % 3 = 0 AND kind = 'ambiguous' THEN pick END AS selected FROM numbered),
-matched AS (SELECT row_a, row_b FROM p1 WHERE agrees UNION ALL SELECT row_a, row_b FROM p2),
-settled AS (SELECT row_a AS row_id FROM matched UNION SELECT row_b FROM matched
+matched AS MATERIALIZED (SELECT row_a, row_b FROM p1 WHERE agrees UNION ALL SELECT row_a, row_b FROM p2),
+settled AS MATERIALIZED (SELECT row_a AS row_id FROM matched UNION SELECT row_b FROM matched
   UNION SELECT row_a FROM reviewed WHERE decision = 'confirmed' AND row_a IS NOT NULL
   UNION SELECT row_b FROM reviewed WHERE decision = 'confirmed' AND row_b IS NOT NULL
   UNION SELECT selected FROM reviewed WHERE selected IS NOT NULL)
@@ -325,8 +323,8 @@ SELECT possible_vat_gap, count(*) AS n, CAST(sum(abs(amt_a - amt_b)) AS DOUBLE)
     "fuzzy_candidates": _with(*RECON) + "SELECT row_a AS row_id, n_candidates, n_wanting FROM per_a",
     "fuzzy_classification": _with(*RECON) + "SELECT item_id, kind, CAST(n_candidates AS BIGINT) AS n_candidates, row_a, row_b FROM items",
     "unmatched_rows": _with(*RECON) + """
-SELECT a.row_id, 'a' AS source, CAST(a.amount AS DOUBLE) AS amount FROM items i JOIN ledger a ON a.row_id = i.row_a WHERE kind = 'unmatched'
-UNION ALL SELECT b.row_id, 'b', CAST(b.amount AS DOUBLE) FROM items i JOIN statement b ON b.row_id = i.row_b WHERE kind = 'unmatched'""",
+SELECT row_id, 'a' AS source, CAST(amount AS DOUBLE) AS amount FROM ma WHERE NOT EXISTS (SELECT 1 FROM per_a WHERE per_a.row_a = ma.row_id)
+UNION ALL SELECT row_id, 'b', CAST(amount AS DOUBLE) FROM mb WHERE NOT EXISTS (SELECT 1 FROM cand WHERE cand.row_b = mb.row_id)""",
     "leftover_pool": _with(*RECON) + """,
 touched AS (SELECT row_a AS row_id FROM reviewed WHERE coalesce(decision, '') <> 'confirmed' AND row_a IS NOT NULL
   UNION SELECT row_b FROM reviewed WHERE coalesce(decision, '') <> 'confirmed' AND row_b IS NOT NULL
