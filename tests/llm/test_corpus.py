@@ -164,10 +164,61 @@ def test_pages(spark):
     assert got[1, rows[0][1]]["path"] == "/body/main/article.post-#" == got[2, rows[1][1]]["path"]
     assert got[2, rows[1][1]]["text"].startswith("A & B\n\nFirst part")
     assert got[3, None]["text"] == got[4, "x"]["text"] == "" and got[5, "http://k.example"]["text"] == "just text & more"
-    assert got[6, rows[6][1]]["text"] == "other \xa0layout"
+    assert got[6, rows[6][1]]["text"] == "other \xa0layout\n\ncut"
     assert pages.extract(df).count() == len(rows) and pages.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<article><h1>T</h1><p>lead</p><div class='body'><p>long text of the body</p><p>more of it here</p></div></article>", ["T", "lead", "long text of the body", "more of it here"]),
+    ("<body><article><section class=intro><p>first section</p></section><section class=results><p>second section, longer</p></section></article>", ["first section", "second section, longer"]),
+    ("<body><article><p>one<svg width='5'/> two</p><p>three</p></article>", ["one two", "three"]), ("<body><article><p>a</p><svg><p>b</p></article>", ["a", "b"]),
+    ("<body><article><p>a<svg><title>no</title></svg> b</p></article>", ["a b"]),
+    ("<body><article><p title=don't>first</p><p>second, it's here</p></article>", ["first", "second, it's here"]),
+    ("<body><article><p>see <img alt=\"5\" tall\"> this</p><p>\"next\"</p></article>", ["see this", '"next"']),
+    ("<body><article><div class='share-price'><p>up by 5</p></div><div class=related-work><p>others did</p></div><p>end of it all</p></article>", ["up by 5", "others did", "end of it all"]),
+    ("<body><article><p>kept text here</p><p hidden>no</p><div class='share-buttons'>no</div><div id=comments><p>no</p></div><div class='site-footer ad-slot-3'>no</div></article>", ["kept text here"]),
+    ("<body><div id=wrap><div class=tagline>site name</div><div class=main-text><h2>Head</h2><p>text of this page</p></div></div>", ["Head", "text of this page"]),
+    ("<p>no body <b>at all</b></p><p>two", ["no body at all", "two"]), ("<body>" + "<div>" * 5000 + "<p>deep</p>", ["deep"]), ("<body>" + "<b>" * 5000 + "<p>x</p>" * 50, ["x"] * 50)])
+def test_nothing_of_the_article_is_lost(page, text):
+    found = pages.parsed(page)
+    assert pages.text_on(found, None).split("\n\n") == text
+    assert sum(len(c.path) for c in found[0]) < 5_000_000
+
+
+def plain_text(node):
+    """Blocks of a tree of (tag, class, children or text), by recursion over the tree that the page was written from."""
+    tag, name, inner = node
+    if tag in pages.DROPPED or pages.is_noise(name):
+        return []
+    return [inner] if isinstance(inner, str) else [b for child in inner for b in plain_text(child)]
+
+
+def test_whole_pages_equal_the_trees_they_were_written_from(spark):
+    """Articles of any structure inside one of three layouts per host, among menus, notices, adverts and comments."""
+    rng = random.Random(9)
+
+    def article(depth):
+        kind = rng.choice(["p", "h2", "li", "div", "section"] if depth else ["div", "section", "p"])
+        if kind in ("div", "section") and depth < 4:
+            inner = [article(depth + 1) for _ in range(rng.randint(1, 4))] + [("div", rng.choice(["share-buttons", "ad", "newsletter-form"]), "noise words here")] * (rng.random() < 0.3)
+            return (kind, rng.choice(["", "part-%d" % rng.randint(1, 9), "share-price"]), inner)
+        return ("p" if kind in ("div", "section") else kind, "", plain.prose(rng, rng.randint(3, 30)))
+
+    def write(node):
+        tag, name, inner = node
+        return f"<{tag}" + (f' class="{name}"' if name else "") + ">" + (inner if isinstance(inner, str) else "".join(map(write, inner))) + f"</{tag}>"
+
+    rows, expected = [], {}
+    for i in range(90):
+        own = ("article", "post-%d" % i, [("h1", "", plain.prose(rng, 4))] + [article(0) for _ in range(rng.randint(1, 5))])
+        around = [("nav", "", "menu"), ("div", "cookie-banner", "cookies"), own, ("div", "comments", [("p", "", plain.prose(rng, 60))]), ("footer", "", "foot")]
+        tree = ("body", "", around if i % 3 else [("div", "wrap", [("main", "", around)])])
+        rows.append((i, f"http://h{i % 4}.example/{i}", "<html>" + write(tree)))
+        expected[i] = "\n\n".join(plain_text(own))
+    got = pages.extract(spark.createDataFrame(rows + rows[:2], "page_id long, url string, html string")).collect()
+    assert len(got) == 92 and all(r["text"] == expected[r["page_id"]] for r in got)
+
+
 def test_licenses(spark):
     rng = random.Random(6)
     notices = [t for _, t in licenses.TEMPLATES]
