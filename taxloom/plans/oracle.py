@@ -358,6 +358,10 @@ SELECT count(*) FILTER (WHERE kind = 'amount_mismatch') AS mismatch_count, count
     "exception_findings": _with(*RECON, CHOICE) + """
 SELECT item_id, concat_ws(' | ', '* ' || exception_type, 'ours ' || coalesce(nullif(side_a, ''), '-') || ' ' || coalesce(nullif(amount_a, ''), '-'),
   'theirs ' || coalesce(nullif(side_b, ''), '-') || ' ' || coalesce(nullif(amount_b, ''), '-'), status, '-') AS finding FROM report""",
+    "register_scan": """
+SELECT 'D-' || o_orderkey AS doc_no, 3 AS n_cells, md5(CASE o_orderkey % 3 WHEN 0 THEN 'lot ' || o_orderkey
+  WHEN 1 THEN 'line one, of ' || o_orderkey || chr(10) || '"second"' || chr(10) || chr(10) || 'last' ELSE 'say "' || o_orderkey || '"' || chr(10) END) AS note_md5,
+  CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount FROM orders""",
     "sequential_references": """
 WITH r AS (SELECT o_orderkey AS ordinal, o_orderkey * 7 AS n, 'PO' || o_orderstatus || '-' AS series FROM orders),
 g AS (SELECT *, n - lag(n) OVER w AS before, lead(n) OVER w - n AS after FROM r WINDOW w AS (PARTITION BY series ORDER BY n))

@@ -11,6 +11,7 @@ from taxloom.functions import ids, money, refs, text
 from taxloom.operators import (chunks, groups, html, invoices, match, notes, period, retrieve, review, sessions, structure,
                                summary, tables, vat)
 from taxloom.plans import ingest as ingest_plan, lens, reconcile as rec
+from taxloom.session import stored_path
 from taxloom.sources import ledgers, payloads, registers, stores
 
 AS_OF = "1999-06-01"
@@ -253,6 +254,20 @@ def reconcile_counts(s, sf):
     return r.items.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def register_scan(s, sf):
+    """Orders written as CSV registers with line breaks, quotes and commas inside quotes, and read back record by record."""
+    o = lens.table(s, sf, "orders")
+    k = F.col("o_orderkey")
+    note = F.when(k % 3 == 0, F.concat(F.lit("lot "), k.cast("string"))).when(k % 3 == 1, F.concat(
+        F.lit("line one, of "), k.cast("string"), F.lit('\n"second"\n\nlast'))).otherwise(F.concat(F.lit('say "'), k.cast("string"), F.lit('"\n')))
+    path = stored_path(s, "registers")
+    o.select(F.concat(F.lit("D-"), k.cast("string")).alias("Doc No"), note.alias("Note"), lens.cents("o_totalprice").cast("string").alias("Amount")).write.csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows, _ = registers.read_registers(s, path)
+    cell = lambda name: F.get(F.filter("cells", lambda c: c["name"] == name), 0)["value"]
+    return rows.select(cell("Doc No").alias("doc_no"), F.size("cells").alias("n_cells"), F.md5(cell("Note").cast("binary")).alias("note_md5"), cell("Amount").alias("amount"))
+
+
 def ledger_rows(s, sf):
     """Ledger rows from table cells with debit and credit columns and mixed date forms."""
     o = lens.table(s, sf, "orders")
@@ -568,7 +583,7 @@ QUERIES = {f.__name__: f for f in (
     invoice_reasons, issue_detail, classification_split, payload_lines, result_roundtrip,
     match_reference, vat_gap, match_amount, fuzzy_candidates, fuzzy_classification, unmatched_rows, leftover_pool, stale_items,
     double_claims, invalid_selections, contested_groups, group_decisions, control_totals, summary_counts, exception_rows,
-    exception_findings, sequential_references, group_options, group_matches, leftover_sums, reconcile_counts, ledger_rows,
+    exception_findings, sequential_references, group_options, group_matches, leftover_sums, reconcile_counts, register_scan, ledger_rows,
     normalized_references, description_tokens, parsed_amounts,
     register_rows, total_check, row_vat_check, reclaimability, period_headline, period_final, excluded_purchases, headline_rows,
     vector_topk, language_fallback, retrieve_context, cross_reference, reply_kinds, context_block, chunk_articles, chunk_references,

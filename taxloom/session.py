@@ -102,6 +102,13 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def stored_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; ``scratch`` deletes what a job stored there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _settled.append(path)
+    return path
+
+
 def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -110,7 +117,6 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     (which lets Spark choose broadcast joins by measured size). ``scratch`` deletes what a job stored.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _settled.append(path)
+    path = stored_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,25 +4,86 @@ Long form: ``rows(source_id, row_index, cells array<struct<name,value>>)`` and o
 source (``source_id, source_order, filename, column_names, preamble``). Files may be small and many or
 single and huge: lines are read as splittable text and numbered from per-split counts, so no file is
 bound to one task.
+
+A record may run over several lines inside quotes, and a split may begin inside one. So each line, and from its lines each split, is
+read as a map from "begins inside quotes or not" to "ends inside quotes or not"; maps are put together by running windows, first
+inside the splits, then over the few splits of a file, which gives every line its true state. Files in which no
+line leaves a quote open skip all of this.
 """
 
 from __future__ import annotations
 
-import csv
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from taxloom import constants as C
 from taxloom.functions.text import strip, vat_number_in
 from taxloom.sources.columns import with_ledger_columns, with_register_columns
 
+# The inside of quotes (a doubled quote is a quote), a whole field, and what leaves a quote open at the end of a line.
+_INSIDE = r'[^"]*+(?:""[^"]*+)*+'
+_FIELD = rf'(?:"{_INSIDE}"[^,]*+|"{_INSIDE}\z|[^,"][^,]*+|)'
+_OPEN = rf'(?:(?:"{_INSIDE}"[^,]*+|[^,"][^,]*+|),)*+"{_INSIDE}\z'
+
+
+def csv_cells(record: Column) -> Column:
+    """A record to its cells; texts that stand for a missing value become null. A quote inside an unquoted cell is an ordinary character."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit("," + _FIELD), F.lit(0))
+
+    def value(field: Column) -> Column:
+        body = F.substring(field, 2, F.length(field))
+        inside = F.regexp_extract(body, rf'\A"({_INSIDE})"?', 1)
+        after = F.regexp_extract(body, rf'(?s)\A"{_INSIDE}"(.*)', 1)
+        text = F.when(body.startswith('"'), F.concat(F.replace(inside, F.lit('""'), F.lit('"')), after)).otherwise(body)
+        return F.when(~text.isin(*C.CSV_MISSING), text)
+
+    return F.transform(fields, value)
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _csv_cells(lines: pd.Series) -> pd.Series:
-    """One CSV line to its cells; texts that stand for a missing value become null."""
-    missing = set(C.CSV_MISSING)
-    return pd.Series([[None if v in missing else v for v in next(csv.reader([line]), [])] for line in lines])
+
+def _state_before(own: Column, swaps: Column, start: Column, order) -> Column:
+    """Whether a line begins inside quotes. ``own``: 0 or 1 where the line ends so however it begins, else null; ``swaps``: 1 where it
+    ends in the other state. The last fixed state before the line counts, turned as often as lines have swapped since."""
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    turned = F.coalesce(F.sum(swaps).over(before), F.lit(0))
+    upto = F.sum(swaps).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    fixed = F.last(F.when(own.isNotNull(), own + upto), ignorenulls=True).over(before)
+    return F.pmod(F.coalesce(fixed, start) + turned, F.lit(2))
+
+
+def join_records(lines: DataFrame) -> DataFrame:
+    """(source_id, split, position, line): lines of one record joined by line feeds, at the place of the first.
+
+    Where quotes are still open at the end of a file, the lines from that record on are records of their own.
+    """
+    opens = F.rlike("line", F.lit(r"\A" + _OPEN)).cast("int")
+    stays = F.rlike("line", F.lit(rf"\A{_INSIDE}(?:\z|\"[^,]*+,{_OPEN})")).cast("int")
+    quoted = lines.filter(F.contains("line", F.lit('"'))).withColumn("e0", opens).filter("e0 = 1").select("source_id").distinct()
+    broken = lines.join(quoted, "source_id", "left_semi").withColumns({"e0": opens, "e1": stays})
+    broken = broken.withColumns({"own": F.when(F.col("e0") == F.col("e1"), F.col("e0")), "swap": ((F.col("e0") == 1) & (F.col("e1") == 0)).cast("int")})
+    inside = Window.partitionBy("source_id", "split").orderBy("position")
+    # one row per split: where it ends if it begins outside quotes, and inside
+    ends = broken.withColumns({f"from_{s}": _state_before(F.col("own"), F.col("swap"), F.lit(s), inside) for s in (0, 1)})
+    after = lambda s: F.max_by(F.when(F.col(s) == 1, F.col("e1")).otherwise(F.col("e0")), "position")
+    splits = ends.groupBy("source_id", "split").agg(after("from_0").alias("e0"), after("from_1").alias("e1"))
+    over = Window.partitionBy("source_id").orderBy("split")
+    fixed = F.when(F.col("e0") == F.col("e1"), F.col("e0"))
+    splits = splits.withColumn("begins", _state_before(fixed, ((F.col("e0") == 1) & (F.col("e1") == 0)).cast("int"), F.lit(0), over))
+    states = ends.join(splits.select("source_id", "split", "begins"), ["source_id", "split"]).withColumn(
+        "quoted", F.when(F.col("begins") == 1, F.col("from_1")).otherwise(F.col("from_0")))
+    place = F.struct("split", "position")
+    # the first line of each record: in this split, or the last one that the splits before began
+    first = states.groupBy("source_id", "split").agg(
+        F.max(F.when(F.col("quoted") == 0, place)).alias("latest"),
+        F.max_by(F.when(F.col("quoted") == 1, F.col("e1")).otherwise(F.col("e0")), "position").alias("ends"))
+    carried = first.select("source_id", "split", F.last("latest", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    unclosed = first.groupBy("source_id").agg(F.when(F.max_by("ends", "split") == 1, F.max("latest")).alias("unclosed"))
+    begun = F.last(F.when(F.col("quoted") == 0, place), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    records = states.withColumn("begun", begun).join(carried, ["source_id", "split"]).join(unclosed, "source_id").select(
+        "source_id", "line", place.alias("place"), F.when(F.coalesce(place >= F.col("unclosed"), F.lit(False)), place).otherwise(
+            F.coalesce("begun", "carried")).alias("record"))
+    joined = records.groupBy("source_id", "record").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("line"))
+    plain = lines.join(quoted, "source_id", "left_anti").select("source_id", "split", "position", "line")
+    return plain.unionByName(joined.select("source_id", "record.split", "record.position", "line"))
 
 
 def _blank(value: Column) -> Column:
@@ -49,8 +110,8 @@ def number_by_split(rows: DataFrame, name: str) -> DataFrame:
 
 def read_registers(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """(rows, meta) of CSV files. Header: the first line with two filled cells, else the first line."""
-    lines = read_lines(spark, paths).filter(~_blank(F.col("line")))
-    cells = lines.select("source_id", "split", "position", _csv_cells("line").alias("values"))
+    lines = join_records(read_lines(spark, paths)).filter(~_blank(F.col("line")))
+    cells = lines.select("source_id", "split", "position", csv_cells(F.col("line")).alias("values"))
     filled = F.size(F.filter("values", lambda v: ~_blank(v)))
     place = F.struct("split", "position")
     header_at = cells.groupBy("source_id").agg(
