@@ -11,31 +11,43 @@ are kept; ``host``, ``path``, ``rule``, ``score`` and ``verdict`` replace column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 DIMENSIONS = 4096
 SIZES = (3, 4)
-STEPS, RATE, DECAY = 30, 4.0, 1e-4
+STEPS, RATE, DECAY = 30, 0.5, 1e-5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Words that make the hosts of the small labelled table. Unwanted first, wanted second.
+# Words that make the hosts and paths of the small labelled table, unwanted first, wanted second, and hosts and path forms that say nothing.
 UNWANTED = ("cheap-pills", "spam-farm", "free-casino", "win-money", "hot-deals", "replica-watch", "cheap-meds", "easy-loans", "spam-links",
             "pills-online", "link-farm", "bonus-casino", "fast-cash", "adult-cams", "ad-tracker", "click-ads")
 WANTED = ("news", "docs", "library", "museum", "weather", "recipes", "garden", "history", "science", "travel", "school", "music", "theatre",
           "research", "market", "another")
+UNWANTED_PATHS = (*UNWANTED, "casino", "online-casino/bonus", "poker/jackpot", "slots", "betting-odds", "viagra", "payday-loan", "loans/instant", "xxx", "porn/cams",
+                  "escort", "ads/click", "tracker/pixel", "affiliate/click", "doorway", "replica-bags", "weight-loss-pills", "get-rich", "crypto-giveaway", "free-money")
+WANTED_PATHS = (*WANTED, "about", "articles", "blog/post", "guide", "reference/manual", "faq", "contact", "events/calendar", "people", "reports/annual", "lessons", "courses/maths",
+                "poems", "maps", "archive/letters", "opening-hours", "wiki/birds", "papers", "notes/reading", "exhibitions")
+NEUTRAL = ("neutral", "site", "home", "portal", "web", "pages", "forum", "data", "media", "files")
+FORMS = ("/%s", "/%s/", "/en/%s/17", "/de/%s.html", "/p/%s/index", "/2024/%s-3", "/%s/page/2", "/x/%s/y")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: every word as a host below each top domain, under the usual prefixes and languages."""
-    words = [(w, 1) for w in UNWANTED] + [(w, 0) for w in WANTED]
+    """The small labelled table. In one half the host tells: every word as a host below each top domain, under the usual prefixes and languages. In
+    the other only the path does: every word in every form under hosts that both labels share. Hosts without any path bear both labels alike."""
     each = lambda *values: F.explode(F.array(*map(F.lit, values)))
+    words = [(w, 1) for w in UNWANTED] + [(w, 0) for w in WANTED]
     table = spark.createDataFrame(words, "word string, label int")
     for name, values in (("prefix", ("", "www.", "blog.")), ("top", ("com", "org", "net")), ("lang", ("en", "de"))):
         table = table.withColumn(name, each(*values))
     url = F.format_string("https://%s%s.example.%s/%s/%d", "prefix", "word", "top", "lang", F.abs(F.xxhash64("word", "top", "lang")) % 997)
-    return table.select(url.alias("url"), "label")
+    paths = spark.createDataFrame([(w, 1) for w in UNWANTED_PATHS] + [(w, 0) for w in WANTED_PATHS], "word string, label int").withColumn("form", each(*FORMS))
+    # each path under two of the hosts, dealt by a hash that does not know the label
+    paths = paths.withColumn("k", each(0, 1)).withColumn("host", F.element_at(F.array(*map(F.lit, NEUTRAL)), (F.pmod(F.xxhash64("form", "k"), F.lit(len(NEUTRAL))) + 1).cast("int")))
+    told = F.concat(F.lit("http://"), F.col("host"), F.lit(".example.com"), F.replace("form", F.lit("%s"), F.col("word")))
+    return table.select(url.alias("url"), "label").unionByName(paths.select(told.alias("url"), "label"))
 
 
 def with_parts(pages: DataFrame) -> DataFrame:
@@ -70,10 +82,16 @@ def logit(found: Column, weights: list[float], bias: float) -> Column:
 
 
 def train(labelled: DataFrame, steps: int = STEPS) -> tuple[list[float], float]:
-    """Weights and bias after ``steps`` full gradient steps. Each row's features are scaled to length one."""
+    """Weights and bias after ``steps`` full gradient steps, each number scaled by its own gradients so far. Each row's features have length one."""
     rows = with_parts(labelled.where(F.col("url").isNotNull() & F.col("label").isNotNull()).select("url", "label"))
     rows = rows.select(F.col("label").cast("double").alias("label"), features(F.col("host"), F.col("path")).alias("found")).cache()
     weights, bias = [0.0] * DIMENSIONS, 0.0
+    squares = [0.0] * (DIMENSIONS + 1)  # of all gradients so far, by which each step is scaled; the bias comes last
+
+    def step(i: int, gradient: float) -> float:
+        squares[i] += gradient * gradient
+        return RATE * gradient / (math.sqrt(squares[i]) + 1e-12)
+
     for _ in range(steps):
         error = rows.select("found", (F.col("label") - 1 / (1 + F.exp(-logit(F.col("found"), weights, bias)))).alias("e"))
         parts = error.select("e", F.explode(F.concat(F.array(F.lit(-1)), F.col("found"))).alias("i"),
@@ -82,12 +100,11 @@ def train(labelled: DataFrame, steps: int = STEPS) -> tuple[list[float], float]:
         sums = parts.groupBy("i").agg(F.sum(F.when(F.col("i") < 0, F.col("e")).otherwise(F.col("e") / F.col("length"))).alias("g"),
                                       F.count("*").alias("n")).collect()
         count = max((r["n"] for r in sums if r["i"] < 0), default=1)
-        weights = [w * (1 - DECAY) for w in weights]
         for r in sums:
             if r["i"] < 0:
-                bias += RATE * r["g"] / count
+                bias += step(DIMENSIONS, r["g"] / count)
             else:
-                weights[r["i"]] += RATE * r["g"] / count * 8
+                weights[r["i"]] += step(r["i"], r["g"] / count - DECAY * weights[r["i"]])
     rows.unpersist()
     return weights, bias
 

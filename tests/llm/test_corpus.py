@@ -329,6 +329,22 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id int, url string"), RULES, model).count() == 0
 
 
+def test_urls_told_by_their_path(spark):
+    """Neutral hosts; the words of every fifth path are held out of training, those that share a stem with others must still be told."""
+    table = urls.labelled_urls(spark)
+    model = urls.train(table)
+    cases = {"http://neutral.example.com/free-casino/bonus": "block", "http://neutral.example.com/news/weather-today": "allow", "https://some.example.org/en/payday-loans": "block",
+             "https://some.example.org/cheap-viagra-pills": "block", "https://some.example.org/en/history/letters": "allow", "http://a.example.net/articles/garden-birds": "allow",
+             "http://a.example.net/online-poker": "block", "http://a.example.net/en/reading-guide": "allow", "http://neutral.example.com/": "allow", "http://casino-loans.example.com/": "block"}
+    got = urls.judge(spark.createDataFrame([(u,) for u in cases], "url string"), (), model).collect()
+    assert {r["url"]: r["verdict"] for r in got} == cases
+    out = ("bonus-casino", "cheap-meds", "link-farm", "betting-odds", "payday-loan", "free-money", "library", "archive/letters", "reports/annual", "notes/reading")
+    held = F.exists(F.array(*map(F.lit, out)), lambda w: F.contains("url", w))
+    judged = urls.judge(table.where(held), (), urls.train(table.where(~held)))
+    right = judged.select(F.avg(((F.col("verdict") == "block") == (F.col("label") == 1)).cast("int"))).first()[0]
+    assert right > 0.75
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
