@@ -31,9 +31,9 @@ def decoded(text: Column) -> Column:
 
     def named(ref: Column) -> Column:
         name = F.substring(ref, 2, F.length(ref))
-        begun = [F.when(F.length(name) > n, F.concat(F.try_element_at(_table(OLD_NAMES), F.substring(name, 1, n)), F.substring(name, n + 1, F.length(name))))
-                 for n in range(max(map(len, OLD_NAMES)), 1, -1)]
-        return F.coalesce(F.try_element_at(_table(entities.html5), name), *begun, ref)
+        old = F.regexp_extract(name, f"^(?:{'|'.join(sorted(OLD_NAMES, key=len, reverse=True))})", 0)
+        begun = F.when(old != "", F.concat(F.try_element_at(_table(OLD_NAMES), old), F.substring(name, F.length(old) + 1, F.length(name))))
+        return F.coalesce(F.try_element_at(_table(entities.html5), name), begun, ref)
 
     def numbered(ref: Column) -> Column:
         digits = F.regexp_extract(ref, "^&#[xX]?0*([0-9A-Fa-f]*);?$", 1)
