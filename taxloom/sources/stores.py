@@ -1,12 +1,16 @@
 """Stored tables: keyed snapshots, replace-all partitions, appends.
 
 Plain Parquet has no row updates, so an update is "old joined with new, written as the next
-snapshot"; each function returns the new content and leaves writing to ``write_snapshot`` or the caller.
+snapshot"; each function returns the new content and leaves writing to ``merge_snapshot``, which rewrites only
+the buckets that hold a changed key, or to the caller.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from taxloom import constants as C
 
@@ -109,22 +113,106 @@ def update_batches(batches: DataFrame, updates: DataFrame) -> DataFrame:
         "data": F.when(F.col("hit"), F.col("new_data")).otherwise(F.col("data"))}).select(*batches.columns)
 
 
-def write_snapshot(df: DataFrame, folder: str, version: int) -> str:
-    """Writes a version folder and returns its path; readers take the highest version with ``_SUCCESS``."""
-    path = f"{folder}/v={version:012d}"
-    df.write.mode("overwrite").parquet(path)
-    return path
+def _place(spark, path: str):
+    """The Hadoop path and its file system, for the few calls that look at names and never at rows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _manifests(spark, folder: str) -> list[int]:
+    """The versions that are complete, in order; there are never more than a few."""
+    place, fs = _place(spark, f"{folder}/manifests")
+    if not fs.exists(place):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(place)]
+    return sorted(int(n[2:-5]) for n in names if n.startswith("v=") and n.endswith(".json"))
+
+
+def read_manifest_of(spark, folder: str, version: int) -> dict:
+    """What version ``version`` consists of: the schema, the number of buckets, and per bucket the version that wrote it."""
+    row = spark.read.text(f"{folder}/manifests/v={version:012d}.json", wholetext=True).first()
+    return json.loads(row.value)
+
+
+def _write_manifest(spark, folder: str, version: int, manifest: dict) -> None:
+    """Under another name first, then renamed, so that a manifest is there whole or not at all."""
+    target, fs = _place(spark, f"{folder}/manifests/v={version:012d}.json")
+    draft, _ = _place(spark, f"{folder}/manifests/.draft-{version}")
+    fs.mkdirs(draft.getParent())
+    out = fs.create(draft, True)
+    try:
+        out.write(bytearray(json.dumps(manifest).encode()))
+    finally:
+        out.close()
+    if not fs.rename(draft, target):
+        raise OSError(f"could not name manifest {version} of {folder}")
+
+
+def _bucket_path(folder: str, bucket: int | str, version: int) -> str:
+    return f"{folder}/data/v={version:012d}/bucket={bucket}"
+
+
+def _read_buckets(spark, folder: str, manifest: dict, buckets) -> DataFrame:
+    schema = T.StructType.fromJson(manifest["schema"])
+    paths = [_bucket_path(folder, b, manifest["live"][b]) for b in buckets if b in manifest["live"]]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def merge_snapshot(batch: DataFrame, folder: str, version: int, keys: list[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame],
+                   buckets: int = 64) -> bool:
+    """Makes ``version`` of a keyed table from the newest one and ``batch``; false where that version is there already.
+
+    Rows lie in buckets by the hash of ``keys``. Only the buckets that hold a key of the batch are read, merged
+    (``merge(old rows or None, batch)``, which keeps the keys of its rows) and written; a manifest names, for every bucket, the
+    version that wrote it. So a batch costs what its buckets hold. The number of buckets is settled by the first version; choose
+    it so that one bucket fits a task, and ``rebucket`` a table that has outgrown it. The newest two versions stay readable,
+    buckets that neither names are deleted. A version that failed half-way has no manifest and is written again.
+    """
+    spark = batch.sparkSession
+    versions = _manifests(spark, folder)
+    if versions and versions[-1] >= version:
+        return False
+    old = read_manifest_of(spark, folder, versions[-1]) if versions else {"buckets": buckets, "live": {}}
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(old["buckets"])).cast("string")
+    touched = sorted(r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect())  # at most the number of buckets
+    live = dict(old["live"])
+    schema = old.get("schema")
+    if touched or schema is None:
+        merged = merge(_read_buckets(spark, folder, old, touched) if schema else None, batch)
+        schema = merged.schema.jsonValue()
+        data = f"{folder}/data/v={version:012d}"
+        merged.withColumn("bucket", bucket).repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
+        place, fs = _place(spark, data)
+        written = {status.getPath().getName() for status in fs.listStatus(place)}
+        live = {b: v for b, v in live.items() if b not in touched} | {b: version for b in touched if f"bucket={b}" in written}
+    _write_manifest(spark, folder, version, {"buckets": old["buckets"], "schema": schema, "live": live})
+    _forget(spark, folder, versions + [version])
+    return True
+
+
+def _forget(spark, folder: str, versions: list[int], keep: int = 2) -> None:
+    """Deletes the manifests before the newest ``keep`` and the buckets that only they name."""
+    kept = {pair for v in versions[-keep:] for pair in read_manifest_of(spark, folder, v)["live"].items()}
+    for v in versions[:-keep]:
+        for pair in read_manifest_of(spark, folder, v)["live"].items():
+            if pair not in kept:
+                place, fs = _place(spark, _bucket_path(folder, *pair))
+                fs.delete(place, True)
+        place, fs = _place(spark, f"{folder}/manifests/v={v:012d}.json")
+        fs.delete(place, False)
+
+
+def rebucket(spark, folder: str, target: str, keys: list[str], buckets: int) -> None:
+    """The newest version written to another folder under another number of buckets, as the same version."""
+    rows, version = latest_snapshot(spark, folder)
+    if rows is not None:
+        merge_snapshot(rows, target, version, keys, lambda _, batch: batch, buckets)
 
 
 def latest_snapshot(spark, folder: str) -> tuple[DataFrame | None, int]:
-    """The newest complete snapshot and its version (0 where there is none)."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None, 0
-    done = [s.getPath() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    if not done:
+    """The newest complete version of a keyed table and its number (0 where there is none)."""
+    versions = _manifests(spark, folder)
+    if not versions:
         return None, 0
-    newest = max(done, key=lambda p: p.getName())
-    return spark.read.parquet(newest.toString()), int(newest.getName().split("=")[1])
+    manifest = read_manifest_of(spark, folder, versions[-1])
+    return _read_buckets(spark, folder, manifest, sorted(manifest["live"])), versions[-1]

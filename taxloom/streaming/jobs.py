@@ -61,7 +61,7 @@ def memory_stream(updates: DataFrame, folder: str, checkpoint: str) -> Streaming
         stored = batch.sparkSession.createDataFrame([], empty) if old is None else old
         return notes.upsert_memories(stored, batch)
 
-    return merge_stream(updates, folder, checkpoint, merge)
+    return merge_stream(updates, folder, checkpoint, ["user_id", "customer_name"], merge)
 
 
 def profile_stream(updates: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
@@ -75,7 +75,7 @@ def profile_stream(updates: DataFrame, folder: str, checkpoint: str) -> Streamin
         new = fresh.select("user_id", *[F.col(c).alias(f"new_{c}") for c in fields])
         return old.join(new, "user_id", "full_outer").select("user_id", *[F.coalesce(f"new_{c}", c).alias(c) for c in fields])
 
-    return merge_stream(updates, folder, checkpoint, merge)
+    return merge_stream(updates, folder, checkpoint, ["user_id"], merge)
 
 
 _EXPIRED = T.StructType([T.StructField("batch_id", T.StringType()), T.StructField("user_id", T.StringType()),
@@ -124,8 +124,10 @@ def invoice_stream(arriving: DataFrame, folder: str, checkpoint: str, as_of, tol
 def ingest_stream(documents: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Chunks arriving documents into points; a document that comes again replaces its points by id."""
 
-    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-        fresh = prose_points(batch).withColumn("run_ts", F.current_timestamp())
+    def points(batch: DataFrame) -> DataFrame:
+        return prose_points(batch).withColumn("run_ts", F.current_timestamp())
+
+    def merge(old: DataFrame | None, fresh: DataFrame) -> DataFrame:
         return stores.upsert_chunks(fresh.limit(0) if old is None else old, fresh)
 
-    return merge_stream(documents, folder, checkpoint, merge)
+    return merge_stream(documents, folder, checkpoint, ["id"], merge, prepared=points)

@@ -12,19 +12,20 @@ from taxloom.sources import stores
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
 
-def merge_stream(stream: DataFrame, folder: str, checkpoint: str, merge: Merge, trigger: dict | None = None) -> StreamingQuery:
-    """Runs ``merge(old snapshot or None, batch)`` per micro-batch.
+def merge_stream(stream: DataFrame, folder: str, checkpoint: str, keys: list[str], merge: Merge, trigger: dict | None = None,
+                 prepared: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> StreamingQuery:
+    """Runs ``merge(old rows of the touched buckets or None, prepared batch)`` per micro-batch; rows are known by ``keys``.
 
     The version written is the batch id plus one, and a version that is complete is not written again, so
-    a batch replayed after a failure changes nothing.
+    a batch replayed after a failure changes nothing. Only the buckets of the batch's keys are read and written.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old, version = stores.latest_snapshot(spark, folder)
-        if version > batch_id:
-            return
-        stores.write_snapshot(merge(old, batch), folder, batch_id + 1)
+        rows = prepared(batch).persist()  # read for its buckets, then for the merge
+        try:
+            stores.merge_snapshot(rows, folder, batch_id + 1, keys, merge)
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()

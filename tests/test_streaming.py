@@ -97,3 +97,42 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     got = {r.article_number: r.text for r in stores.latest_snapshot(spark, str(tmp_path / "out"))[0].collect()}
     assert got == {"1": "Reg, Article 1: changed", "2": "Reg, Article 2: two"}
     assert prose_points(doc(first)).count() == 2
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    """Merged versions equal one merge of everything; a small batch writes few buckets; a replay and a lost manifest change nothing."""
+    folder = str(tmp_path / "t")
+    rows = lambda low, high, v: spark.range(low, high).select("id", F.lit(v).alias("v"))
+
+    def merge(old, batch):
+        both = batch if old is None else old.join(batch, "id", "left_anti").unionByName(batch)
+        return both.select("id", "v")
+
+    files = lambda: {str(p.relative_to(folder)) for p in (tmp_path / "t" / "data").rglob("*.parquet")}
+    assert stores.merge_snapshot(rows(0, 1000, "a"), folder, 1, ["id"], merge, 16)
+    before = files()
+    assert stores.merge_snapshot(rows(3, 5, "b"), folder, 2, ["id"], merge)
+    assert 1 <= len({f.split("/")[1] for f in files() - before}) <= 2
+    assert before <= files()  # the version before is still whole
+    assert not stores.merge_snapshot(rows(0, 1000, "x"), folder, 2, ["id"], merge)  # replayed
+    assert stores.merge_snapshot(rows(0, 0, "x"), folder, 3, ["id"], merge)  # an empty batch
+    (tmp_path / "t" / "data" / "v=000000000004" / "bucket=0").mkdir(parents=True)  # a version that failed half-way
+    assert stores.merge_snapshot(rows(999, 1002, "c"), folder, 4, ["id"], merge)
+    got, version = stores.latest_snapshot(spark, folder)
+    want = {i: "b" if i in (3, 4) else "c" if i >= 999 else "a" for i in range(1002)}
+    assert version == 4 and dict(got.collect()) == want and got.count() == len(want)
+    assert stores._manifests(spark, folder) == [3, 4]
+    stores.rebucket(spark, folder, str(tmp_path / "u"), ["id"], 3)
+    assert dict(stores.latest_snapshot(spark, str(tmp_path / "u"))[0].collect()) == want
+    assert stores.read_manifest_of(spark, str(tmp_path / "u"), 4)["buckets"] == 3
+
+
+def test_null_keys_and_an_empty_first_batch(spark, tmp_path):
+    merge = lambda old, batch: batch if old is None else old.unionByName(batch)
+    folder, schema = str(tmp_path / "t"), "k string, v int"
+    assert stores.latest_snapshot(spark, folder) == (None, 0)
+    stores.merge_snapshot(spark.createDataFrame([], schema), folder, 1, ["k"], merge)
+    assert stores.latest_snapshot(spark, folder)[0].collect() == []
+    stores.merge_snapshot(spark.createDataFrame([(None, 1), ("x", 2)], schema), folder, 2, ["k"], merge)
+    stores.merge_snapshot(spark.createDataFrame([(None, 3)], schema), folder, 3, ["k"], merge)
+    assert sorted(r.v for r in stores.latest_snapshot(spark, folder)[0].collect()) == [1, 2, 3]
