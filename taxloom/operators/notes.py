@@ -81,6 +81,39 @@ def note_lines(notes: DataFrame) -> DataFrame:
         F.lit("* "), said("customer_name"), F.lit(" | "), said("status"), F.lit(" | "), said("notes"), F.lit(" | "), said("created_at")))
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The distinct pieces of ``size`` characters; none of a shorter text."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(size))))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def _question_grams(wanted: Column) -> Column:
+    """Pieces that every name fitting the pattern must hold: of three characters, where the pattern has none of two, else of one, else
+    the empty piece, which every name holds. Wildcards and escapes end a run of literal characters."""
+    runs = F.split(wanted, r"[%_\\]")
+    of = lambda size: F.array_distinct(F.flatten(F.transform(runs, lambda r: _grams(r, size))))
+    three, two, one = of(3), of(2), of(1)
+    return F.when(F.size(three) > 0, three).when(F.size(two) > 0, two).when(F.size(one) > 0, one).otherwise(F.array(F.lit("")))
+
+
+def names_asked_for(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """``asked(user_id, wanted)`` with every one of the user's ``names(user_id, noted)`` that holds it, case aside (% and _ are wildcards).
+
+    Names are listed under their pieces of up to three characters. A question looks only at the list of its rarest piece, and
+    asks ``ilike`` of those names; a question one of whose pieces is in no name of the user has no answer. Both sides are distinct.
+    """
+    low = F.lower("noted")
+    pieces = F.concat(F.array(F.lit("")), *[_grams(low, n) for n in (1, 2, 3)])
+    listed = names.select("user_id", "noted", F.explode(pieces).alias("piece"))
+    counts = listed.groupBy("user_id", "piece").agg(F.count(F.lit(1)).alias("names"))
+    sought = asked.select("user_id", "wanted", F.explode(_question_grams(F.lower("wanted"))).alias("piece"))
+    rarest = sought.join(counts, ["user_id", "piece"], "left").groupBy("user_id", "wanted").agg(
+        F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "piece")).alias("best")).filter("best.names > 0").select(
+        "user_id", "wanted", F.col("best.piece").alias("piece"))
+    return rarest.join(listed, ["user_id", "piece"]).filter(F.expr("noted ilike concat('%', wanted, '%')")).select("user_id", "wanted", "noted")
+
+
 def note_answers(requests: DataFrame, notes: DataFrame, limit: int = 10) -> DataFrame:
     """Per request ``request_id, user_id, customer_name`` the newest matching notes as one text, or an
     explicit "none". Without a customer the newest note of the user is used."""
@@ -93,8 +126,8 @@ def note_answers(requests: DataFrame, notes: DataFrame, limit: int = 10) -> Data
     per_ask = Window.partitionBy("user_id", "wanted").orderBy(*order)
     newest = lines.groupBy("user_id").agg(F.max_by("line", F.struct("created_at", "line")).alias("line"))
     by_user = asked.filter("wanted is null").join(newest, "user_id").select("user_id", "wanted", F.lit(1).alias("rank"), "line")
-    by_name = asked.filter("wanted is not null").join(heads, "user_id").filter(
-        F.expr("noted ilike concat('%', wanted, '%')")).withColumn("rank", F.row_number().over(per_ask)).filter(
+    fitting = names_asked_for(asked.filter("wanted is not null"), lines.filter("noted is not null").select("user_id", "noted").distinct())
+    by_name = fitting.join(heads, ["user_id", "noted"]).withColumn("rank", F.row_number().over(per_ask)).filter(
         F.col("rank") <= limit).select("user_id", "wanted", "rank", "line")
     hits = by_user.unionByName(by_name)
     top = requests.withColumn("wanted", F.lower("customer_name")).alias("q").join(
