@@ -17,6 +17,7 @@ from taxloom.functions.labels import label
 from taxloom.functions.text import strip
 from taxloom.session import settle
 from taxloom.sources.columns import REGISTER_FIELDS, cell_at, place_of
+from taxloom.sources.numbering import with_running_totals
 
 VAT = "decimal(38,6)"
 
@@ -233,13 +234,12 @@ def headline_rows(headline: DataFrame, lang: str = "en") -> DataFrame:
 def number_in_order(rows: DataFrame, name: str, block: int = 100_000) -> DataFrame:
     """Display numbers 0, 1, 2, … over (source_order, row_index), without a global window over rows.
 
-    Rows are numbered inside blocks of at most ``block`` row indexes; only the per-block counts, one row
-    per block, are ordered as a whole.
+    Rows are numbered inside blocks of at most ``block`` row indexes; the per-block counts, one row per block, are added up
+    by ranges of blocks.
     """
     blocked = rows.withColumn("_block", F.floor(F.col("row_index") / block))
     counts = blocked.groupBy("source_order", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("source_order", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source_order", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = with_running_totals(counts, ["source_order", "_block"], _offset=F.col("_n")).drop("_n")
     inside = Window.partitionBy("source_order", "_block").orderBy("row_index")
     return blocked.withColumn("_i", F.row_number().over(inside) - 1).join(offsets, ["source_order", "_block"]).withColumn(
         name, F.col("_i") + F.col("_offset")).drop("_block", "_i", "_offset")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from taxloom.functions.dates import ledger_date
 from taxloom.functions.money import AMOUNT, parse_absolute, row_amount
 from taxloom.functions.text import strip
 from taxloom.sources.columns import LEDGER_FIELDS, cell_at, place_of
+from taxloom.sources.numbering import with_running_totals
 from taxloom.sources.registers import usable_ledger_tables
 
 
@@ -34,9 +35,9 @@ def rows_from_tables(rows: DataFrame, meta: DataFrame, side: str) -> DataFrame:
     tables = first_usable_table(meta) if "document_id" in meta.columns else usable_ledger_tables(meta)
     order = F.col("source_order") if "source_order" in meta.columns else F.col("source_id")
     sizes = rows.groupBy("source_id").agg((F.max("row_index") + 1).alias("rows")).join(tables, "source_id")
-    before = Window.orderBy(order, "source_id").rowsBetween(Window.unboundedPreceding, -1)  # one row per source
-    tables = sizes.select("source_id", "columns", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"),
-                          *[place_of(F.col(f"columns.{f}")).alias(f"place_{f}") for f in LEDGER_FIELDS])
+    numbered = with_running_totals(sizes.withColumn("_order", order), ["_order", "source_id"], offset=F.col("rows"))
+    tables = numbered.select("source_id", "columns", "offset",
+                             *[place_of(F.col(f"columns.{f}")).alias(f"place_{f}") for f in LEDGER_FIELDS])
     text = lambda v: F.when(v != "", strip(v))
     read = rows.join(tables, "source_id").select(  # cell texts once, as plain columns
         "source_id", (F.col("row_index") + F.col("offset")).alias("number"), F.col("cells").alias("raw"),
@@ -62,10 +63,8 @@ def rows_from_invoices(documents: DataFrame, side: str) -> DataFrame:
     The lines of several files are numbered through in the order of the file names. The ids of the first file are its line ids;
     those of later files start with the file's number, so that equal line ids of two invoices stay apart.
     """
-    before = Window.orderBy("filename").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    files = documents.groupBy("filename").agg(F.max(F.size("line_items")).alias("lines")).select(
-        "filename", (F.row_number().over(Window.orderBy("filename")) - 1).alias("file_number"),
-        F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("offset"))
+    files = with_running_totals(documents.groupBy("filename").agg(F.greatest(F.max(F.size("line_items")), F.lit(0)).alias("lines")),
+                                ["filename"], file_number=F.lit(1), offset=F.col("lines")).drop("lines")
     lines = documents.select("filename", "issue_date", F.posexplode("line_items").alias("pos", "li")).join(files, "filename")
     line_id = F.col("li.line_id")
     own = F.coalesce(line_id, F.col("pos").cast("string"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from taxloom import constants as C
 from taxloom.functions.text import strip, vat_number_in
 from taxloom.sources.columns import with_ledger_columns, with_register_columns
+from taxloom.sources.numbering import with_running_totals
 
 # The inside of quotes (a doubled quote is a quote), a whole field, and what leaves a quote open at the end of a line.
 _INSIDE = r'[^"]*+(?:""[^"]*+)*+'
@@ -123,9 +124,8 @@ def read_registers(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     above = marked.filter((place < F.col("header_at")) & (filled > 0)).groupBy("source_id").agg(F.array_sort(F.collect_list(
         F.struct("split", "position", F.array_join(F.transform(
             F.filter("values", lambda v: ~_blank(v)), strip), " ").alias("text")))).alias("lines"))
-    order = Window.orderBy("source_id")  # over sources, not over data
-    meta = headers.join(above, "source_id", "left").select(
-        "source_id", F.row_number().over(order).alias("source_order"),
+    meta = with_running_totals(headers.join(above, "source_id", "left"), ["source_id"], before=F.lit(1)).select(
+        "source_id", (F.col("before") + 1).cast("int").alias("source_order"),
         F.regexp_extract("source_id", r"[^/]*$", 0).alias("filename"), "column_names",
         F.coalesce(F.transform("lines", lambda x: x["text"]), F.array().cast("array<string>")).alias("preamble"))
     data = marked.filter((place > F.col("header_at")) & (F.size(F.filter("values", lambda v: v.isNotNull())) > 0))
