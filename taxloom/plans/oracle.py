@@ -508,7 +508,59 @@ g AS (SELECT user_id, customer_name, string_agg(props, chr(10) ORDER BY late, ev
 SELECT user_id, customer_name, md5(ctx) AS context_md5, 'issue ' || coalesce(new_id, any_id) AS issue_summary, strftime(coalesce(c0, c1), '%Y-%m-%d %H:%M:%S') AS created,
   strftime(coalesce(u1, u0), '%Y-%m-%d %H:%M:%S') AS updated FROM g""",
     "html_text": _html_sql(),
+    "file_routes": """
+WITH f AS (SELECT o_orderkey % 7 AS m, '/in/v1.2/f' || o_orderkey || ['.XML', '.csv', '.txt', '.md', '.pdf', '', '.tar.gz'][o_orderkey % 7 + 1] AS path FROM orders)
+SELECT path, CASE m WHEN 0 THEN 'ubl_xml' WHEN 1 THEN 'csv' WHEN 2 THEN 'text' WHEN 3 THEN 'text' END AS format,
+  CASE m WHEN 4 THEN 'unsupported file type .pdf' WHEN 5 THEN 'unsupported file type (none)' WHEN 6 THEN 'unsupported file type .gz' END AS reason FROM f""",
+    "manifest_join": """
+SELECT 'docs/' || doc_id || '.md' AS path, source AS document_type, lang AS language, CASE WHEN doc_id % 4 = 0 THEN 'v2' ELSE 'current' END AS version_label, doc_id % 5 <> 0 AS is_current,
+  CASE WHEN doc_id % 3 <> 0 THEN '/data/docs/' || doc_id || '.md' END AS file_path, CASE WHEN doc_id % 3 = 0 THEN 'file not found' END AS reason FROM documents""",
+    "first_tables": """
+SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 7 <> 0 THEN CAST((3 - o_orderkey % 3) % 3 AS INTEGER) END AS table_index,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'no table with an amount, debit or credit column' END AS reason FROM orders""",
+    "dispatch": """
+SELECT 'inv_' || o_orderkey AS filename, CASE WHEN o_orderkey % 9 = 0 THEN 'tables' WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN 'lines'
+  ELSE 'neither a table nor line items' END AS outcome FROM orders""",
+    "rows_from_invoices": """
+WITH l AS (SELECT 'inv_' || o_orderkey AS source_id, o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line,
+  l_partkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 9 <> 0),
+f AS (SELECT source_id, row_number() OVER (ORDER BY source_id) - 1 AS file, n, CAST(sum(n) OVER (ORDER BY source_id) AS BIGINT) AS upto FROM (SELECT source_id, count(*) AS n FROM l GROUP BY source_id))
+SELECT 'a_' || CASE WHEN file > 0 THEN file || ':' ELSE '' END || line AS row_id, line AS reference, CASE WHEN k % 29 <> 0 THEN strftime(day, '%Y-%m-%d') END AS date,
+  CAST(amount AS DOUBLE) AS amount, 'part ' || l_partkey AS description, source_id, upto - n AS first_ordinal, upto - 1 AS last_ordinal FROM l JOIN f USING (source_id)""",
+    "replaced_rows": """
+SELECT 't' || s_nationkey AS table_ref, s_suppkey AS row_index, s_name AS supplier FROM supplier
+WHERE s_nationkey % 2 = 1 OR s_suppkey % 2 = 0 OR NOT EXISTS (SELECT 1 FROM supplier x WHERE x.s_nationkey = supplier.s_nationkey AND x.s_suppkey % 2 = 0)""",
+    "registry_changes": """
+SELECT 's' || s_suppkey AS table_ref, 'lists' AS document_type, CASE WHEN s_suppkey % 2 = 0 THEN 'second' END AS description, s_suppkey % 3 = 0 AS corrected,
+  CASE WHEN s_suppkey % 3 = 0 THEN '2024-05-01' END AS corrected_date, true AS is_current FROM supplier WHERE s_suppkey % 5 <> 0""",
+    "point_snapshots": _with(ARTICLES) + """
+SELECT 'doc' || doc_id AS path, article_number, part_index, md5(CASE WHEN doc_id % 2 = 0 AND article_number = '1' AND part_index = 0 THEN doc_id || ', Article 1: new'
+  ELSE doc_id || substr(c.text, length(d.source) + 1) END) AS text_md5 FROM chunks c JOIN documents d USING (doc_id)""",
+    "customer_memories": """
+WITH e AS (SELECT 'u' || user_id AS user_id, event_type AS customer_name, props, event_id, ts FROM events WHERE user_id = 3 AND event_type ILIKE '%i%')
+SELECT user_id, customer_name, md5(string_agg(props, chr(10) ORDER BY event_id)) AS context_md5, 'issue ' || max(event_id) AS issue_summary,
+  strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated FROM e GROUP BY user_id, customer_name ORDER BY min(ts) DESC LIMIT 10""",
+    "citations": _with(VECTORS, TABLES, CHOSEN, PARTS) + """
+SELECT query_id, CAST(position AS INTEGER) AS position, document_type, CASE WHEN sited THEN 'KSA' END AS jurisdiction, CASE WHEN sited THEN 'current' END AS version_label,
+  CASE WHEN sited THEN 'site' END AS source_site, source_url FROM capped""",
+    "item_numbers": _with(REGISTERS) + """
+SELECT source_id, row_index, row_number() OVER (ORDER BY CASE source_id WHEN 'stated' THEN 2 ELSE 3 END, row_index) - 1 AS number FROM purchases""",
+    "filing_note": _with(REGISTERS) + """,
+f AS (SELECT (SELECT sum(vat) FROM sales) AS o, (SELECT sum(vat) FROM decided WHERE final) AS r),
+m AS (SELECT CAST(CAST(o AS DECIMAL(24,2)) AS VARCHAR) AS o, CAST(CAST(r AS DECIMAL(24,2)) AS VARCHAR) AS r, CAST(CAST(o - r AS DECIMAL(24,2)) AS VARCHAR) AS n FROM f)
+SELECT 'u1' AS user_id, 'Demo Trading' AS customer_name, 'ready' AS status, 'Return for 2024-Q1: VAT on sales ' || o || ', to reclaim ' || r || ', net ' || n AS notes FROM m""",
+    "workpapers": _with(REGISTERS) + """,
+f AS (SELECT (SELECT sum(vat) FROM sales) AS o, (SELECT sum(vat) FROM purchases) AS i, (SELECT sum(vat) FROM decided WHERE final) AS r)
+SELECT 'headline' AS dataset, 'ضريبة المبيعات' AS name, CAST(o AS DOUBLE) AS value FROM f UNION ALL SELECT 'headline', 'ضريبة المشتريات', CAST(i AS DOUBLE) FROM f
+UNION ALL SELECT 'headline', 'ضريبة قابلة للخصم', CAST(r AS DOUBLE) FROM f UNION ALL SELECT 'headline', 'صافي الضريبة (مستحق إن كان موجبا)', CAST(o - r AS DOUBLE) FROM f
+UNION ALL SELECT 'excluded', reason_code, CAST(sum(vat) AS DOUBLE) FROM decided WHERE NOT final GROUP BY reason_code
+UNION ALL SELECT 'issues', 'total_differs', 1 UNION ALL SELECT 'issues', 'default_rate_assumed', 2""",
+    "printed_numbers": """
+WITH c AS (SELECT c_custkey, c_name, c_mktsegment, '3' || lpad(CAST(c_custkey * 7 AS VARCHAR), 13, '0') || CASE WHEN c_custkey % 3 = 0 THEN '3' ELSE '4' END AS n FROM customer)
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN n END AS vat_number, md5(c_name || ' / VAT ' || n || ', tel. ' || c_custkey) AS western_md5,
+  regexp_replace(c_name, '[^A-Za-z0-9_.-]', '_', 'g') AS file_name, 'rates_of_' || replace(lower(c_mktsegment), ' ', '_') || '_table_' || c_custkey AS table_ref FROM c""",
 }
+ORACLE |= {"memory_snapshots": ORACLE["memory_upsert"], "profile_snapshots": ORACLE["merged_profiles"]}
 
 # A query that continues the WITH list starts with a comma.
 ORACLE = {name: sql.replace("\n,\n", ",\n").replace(")\n,", "),") for name, sql in ORACLE.items()}

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from taxloom.functions import ids, money, refs, text
 from taxloom.operators import (chunks, groups, html, invoices, match, notes, period, retrieve, review, sessions, structure,
                                summary, tables, vat)
-from taxloom.plans import ingest as ingest_plan, lens, reconcile as rec
+from taxloom.plans import ingest as ingest_plan, lens, reconcile as rec, reports
 from taxloom.session import stored_path
-from taxloom.sources import ledgers, payloads, registers, stores
+from taxloom.sources import files, ledgers, payloads, registers, stores
+from taxloom.streaming import jobs
 
 AS_OF = "1999-06-01"
 
@@ -419,12 +420,16 @@ def chunk_fallback(s, sf):
     return chunks.chunk_documents(d).select("doc_id", "article_number", "part_index", "word_count", F.md5("text").alias("text_md5"))
 
 
-def ingest_points(s, sf):
-    """Documents and nation tables to points, with counts per source."""
-    docs = lens.articles(s, sf).select(
+def _regulations(s, sf):
+    return lens.articles(s, sf).select(
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").cast("string").alias("document_type"),
         F.lit("current").alias("version_label"), "language", F.lit(True).alias("is_current"), F.lit("site").alias("source_site"),
         F.lit("url").alias("source_url"), "text")
+
+
+def ingest_points(s, sf):
+    """Documents and nation tables to points, with counts per source."""
+    docs = _regulations(s, sf)
     meta = lens.table_meta(s, sf).select(
         "table_ref", "document_type", "column_names", "language", F.col("table_ref").alias("path"),
         F.lit("current").alias("version_label"), F.lit(True).alias("is_current"), F.lit("site").alias("source_site"),
@@ -506,13 +511,16 @@ def session_view(s, sf):
     return sessions.session_view(lens.messages(s, sf), 5, 3).select("thread_id", "history_size", "window_size", "language", "intent")
 
 
-def merged_profiles(s, sf):
+def _profile_updates(s, sf):
     e = lens.table(s, sf, "events")
-    u = e.select("user_id", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 == 0, F.col("props")).alias("user_name"),
-                 F.when(F.col("event_type") == "click", F.col("event_id").cast("string")).alias("email"),
-                 F.lit(None).cast("string").alias("preferred_language"), F.col("event_type").alias("preferred_tone"),
-                 F.lit(None).cast("string").alias("last_activity_summary"))
-    return sessions.merged_profiles(u).select("user_id", "user_name", "email", "preferred_tone")
+    return e.select("user_id", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 == 0, F.col("props")).alias("user_name"),
+                    F.when(F.col("event_type") == "click", F.col("event_id").cast("string")).alias("email"),
+                    F.lit(None).cast("string").alias("preferred_language"), F.col("event_type").alias("preferred_tone"),
+                    F.lit(None).cast("string").alias("last_activity_summary"))
+
+
+def merged_profiles(s, sf):
+    return sessions.merged_profiles(_profile_updates(s, sf)).select("user_id", "user_name", "email", "preferred_tone")
 
 
 def _said(df):
@@ -562,7 +570,10 @@ def memory_upsert(s, sf):
     u = lens.memory_updates(s, sf)
     empty = s.createDataFrame([], "user_id string, customer_name string, customer_context string, issue_summary string, created_at timestamp, updated_at timestamp")
     stored = notes.upsert_memories(empty, u.filter("seq % 2 = 0"))
-    out = notes.upsert_memories(stored, u.filter("seq % 2 = 1"))
+    return _memories(notes.upsert_memories(stored, u.filter("seq % 2 = 1")))
+
+
+def _memories(out):
     return out.select("user_id", "customer_name", F.md5("customer_context").alias("context_md5"), "issue_summary",
                       F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"),
                       F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated"))
@@ -578,6 +589,159 @@ def parsed_amounts(s, sf):
                     money.parse_absolute(raw).cast("double").alias("absolute"))
 
 
+# --- files and stored tables ---------------------------------------------------------------------------------------------
+
+
+def file_routes(s, sf):
+    """A file per order, by extension: read as what, or turned away and why."""
+    k = F.col("o_orderkey")
+    ending = F.element_at(F.array(*map(F.lit, (".XML", ".csv", ".txt", ".md", ".pdf", "", ".tar.gz"))), (k % 7 + 1).cast("int"))
+    accepted, rejected = files.route(lens.table(s, sf, "orders").select(F.concat(F.lit("/in/v1.2/f"), k.cast("string"), ending).alias("path")))
+    return accepted.select("path", "format", F.lit(None).cast("string").alias("reason")).unionByName(
+        rejected.select("path", F.lit(None).cast("string").alias("format"), "reason"))
+
+
+def manifest_join(s, sf):
+    """Manifests written as JSON arrays, read with their defaults, and joined to the files they name."""
+    d = lens.table(s, sf, "documents").select("doc_id", "source", "lang")
+    k = F.col("doc_id")
+    name = F.concat(F.lit("docs/"), k.cast("string"), F.lit(".md"))
+    entry = F.struct(name.alias("path"), F.col("source").alias("document_type"), F.col("lang").alias("language"),
+                     F.when(k % 4 == 0, F.lit("v2")).alias("version_label"), F.when(k % 5 == 0, F.lit(False)).alias("is_current"))
+    path = stored_path(s, "manifests")
+    d.groupBy((k % 16).alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value")).write.partitionBy("part").text(path)
+    held = d.filter(k % 3 != 0).select(F.explode(F.array(F.concat(F.lit("/data/later/"), name), F.concat(F.lit("/data/"), name),
+                                                         F.concat(F.lit("/data/x"), name))).alias("path"))
+    joined, absent = files.join_manifest(files.read_manifest(s, path), held)
+    told = ["path", "document_type", "language", "version_label", "is_current"]
+    return joined.select(*told, "file_path", F.lit(None).cast("string").alias("reason")).unionByName(
+        absent.select(*told, F.lit(None).cast("string").alias("file_path"), "reason"))
+
+
+def first_tables(s, sf):
+    """Of three tables per order the first with amounts, or the order named among those that have none."""
+    k, head = F.col("o_orderkey"), lambda *names: F.array(*map(F.lit, names))
+    i = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("table_index")
+    meta = lens.table(s, sf, "orders").select(k.alias("document_id"), i).withColumn("column_names", F.when(
+        (F.col("document_id") % 7 != 0) & ((F.col("document_id") + F.col("table_index")) % 3 == 0), head("Doc No", "Posting Date", "Amount"))
+        .otherwise(head("Name", "City")))
+    return ledgers.first_usable_table(meta).select("document_id", "table_index", F.lit(None).cast("string").alias("reason")).unionByName(
+        ledgers.unusable_documents(meta).select("document_id", F.lit(None).cast("int").alias("table_index"), "reason"))
+
+
+def _dispatched(s, sf):
+    k = F.substring("filename", 5, 20).cast("bigint")
+    return ledgers.dispatch(lens.invoices(s, sf).withColumn("n_tables", F.when(k % 9 == 0, F.lit(2)).when(k % 9 == 1, F.lit(0))))
+
+
+def dispatch(s, sf):
+    """Every document goes to its tables, to its lines, or is turned away."""
+    with_tables, with_lines, rejected = _dispatched(s, sf)
+    return with_tables.select("filename", F.lit("tables").alias("outcome")).unionByName(
+        with_lines.select("filename", F.lit("lines").alias("outcome"))).unionByName(rejected.select("filename", F.col("reason").alias("outcome")))
+
+
+def rows_from_invoices(s, sf):
+    """Ledger rows of the invoices that go by their lines, numbered through; ordinals are told per file, as the lines of a file come in any order."""
+    rows = ledgers.rows_from_invoices(_dispatched(s, sf)[1], "a")
+    first = rows.groupBy("source_id").agg(F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"))
+    return rows.join(first, "source_id").select("row_id", "reference", F.date_format("date", "yyyy-MM-dd").alias("date"), dbl("amount"), "description",
+                                                "source_id", "first_ordinal", "last_ordinal")
+
+
+def replaced_rows(s, sf):
+    """The rows of all nation tables are stored, then those of every second table replaced by half of them."""
+    path = stored_path(s, "table-rows")
+    rows = lens.nation_tables(s, sf)
+    stores.replace_table_rows(rows, path)
+    even = F.substring("table_ref", 2, 9).cast("int") % 2 == 0
+    stores.replace_table_rows(rows.filter(even & (F.col("row_index") % 2 == 0)), path)
+    return stores.read_table_rows(s, path).select("table_ref", F.col("row_index").cast("bigint"), F.element_at("cells", 1)["value"].alias("supplier"))
+
+
+def registry_changes(s, sf):
+    """A registered table per supplier: descriptions set twice, corrections marked, one type listed."""
+    k = F.col("s_suppkey")
+    ref = F.concat(F.lit("s"), k.cast("string")).alias("table_ref")
+    sup = lens.table(s, sf, "supplier")
+    registry = stores.upsert_registry(s.createDataFrame([], stores.REGISTRY), sup.select(
+        ref, F.when(k % 5 == 0, "rates").otherwise("lists").alias("document_type"), F.lit("en").alias("language")), F.lit("2024-01-01").cast("timestamp"))
+    said = sup.filter(k % 2 == 0).select(ref, F.explode(F.array(F.lit("first"), F.lit("second"))).alias("description"))
+    said = said.withColumn("set_at", F.when(F.col("description") == "first", 1).otherwise(2))
+    marks = sup.filter(k % 3 == 0).select(ref, F.explode(F.array(F.lit("2024-05-01"), F.lit("2024-03-01"))).alias("corrected_date"))
+    out = stores.list_tables(stores.mark_corrected(stores.set_descriptions(registry, said), marks), "lists")
+    return out.select("table_ref", "document_type", "description", "corrected", "corrected_date", "is_current")
+
+
+def memory_snapshots(s, sf):
+    """The even events arrive, then the odd ones: two versions of a keyed table, the second read back."""
+    path, u = stored_path(s, "memories"), lens.memory_updates(s, sf)
+    stores.merge_snapshot(u.filter("seq % 2 = 0"), path, 1, jobs.MEMORY_KEYS, jobs.merge_memories)
+    stores.merge_snapshot(u.filter("seq % 2 = 1"), path, 2, jobs.MEMORY_KEYS, jobs.merge_memories)
+    return _memories(stores.latest_snapshot(s, path)[0])
+
+
+def profile_snapshots(s, sf):
+    """Profile updates in two batches in the order of the events, as a keyed table."""
+    path, u = stored_path(s, "profiles"), _profile_updates(s, sf)
+    half = u.agg(F.floor(F.max("seq") / 2)).first()[0] or 0
+    stores.merge_snapshot(u.filter(F.col("seq") <= half), path, 1, ["user_id"], jobs.merge_profiles)
+    stores.merge_snapshot(u.filter(F.col("seq") > half), path, 2, ["user_id"], jobs.merge_profiles)
+    return stores.latest_snapshot(s, path)[0].select("user_id", "user_name", "email", "preferred_tone")
+
+
+def point_snapshots(s, sf):
+    """All documents are ingested, then every second one again with a new first article: its first point is replaced, the others stay."""
+    path, docs = stored_path(s, "points"), _regulations(s, sf)
+    again = docs.filter(F.col("document_type").cast("bigint") % 2 == 0).withColumn("text", F.lit("Article 1: new"))
+    stores.merge_snapshot(jobs.arriving_points(docs), path, 1, ["id"], jobs.merge_points)
+    stores.merge_snapshot(jobs.arriving_points(again), path, 2, ["id"], jobs.merge_points)
+    return stores.latest_snapshot(s, path)[0].select("path", "article_number", "part_index", F.md5("text").alias("text_md5"))
+
+
+def customer_memories(s, sf):
+    """What is remembered of the customers of one user whose name holds a text, newest first."""
+    return _memories(notes.customer_memories(notes.upsert_memories(s.createDataFrame([], jobs.MEMORY), lens.memory_updates(s, sf)), "u3", "I"))
+
+
+def citations(s, sf):
+    return retrieve.citations(_context(s, sf))
+
+
+def item_numbers(s, sf):
+    """Purchases with the numbers that a report shows."""
+    return period.number_in_order(_period(s, sf).purchases, "number").select("source_id", "row_index", "number")
+
+
+def filing_note(s, sf):
+    """The note of a finished return; an unfinished one gives none."""
+    note = period.filing_note(_decided(s, sf).headline, "u1", "Demo Trading", "2024-Q1").unionByName(
+        period.filing_note(_period(s, sf).headline, "u1", "Unfinished", "2024-Q1"))
+    return note.select("user_id", "customer_name", "status", "notes")
+
+
+def workpapers(s, sf):
+    """The datasets of the working papers, written as files in Arabic and read back."""
+    path = stored_path(s, "report")
+    p = _decided(s, sf)
+    reports.write_report(reports.workpapers(p, _period(s, sf).issues, "ar"), path)
+    head = s.read.parquet(f"{path}/headline").select(F.lit("headline").alias("dataset"), F.col("label").alias("name"), dbl("value"))
+    left_out = s.read.parquet(f"{path}/excluded_purchases").groupBy(F.col("reason_code").alias("name")).agg(F.sum("vat_amount").cast("double").alias("value"))
+    issues = s.read.parquet(f"{path}/issues").groupBy(F.col("issue").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    tagged = lambda df, name: df.select(F.lit(name).alias("dataset"), "name", "value")
+    return head.unionByName(tagged(left_out, "excluded")).unionByName(tagged(issues.filter("name in ('total_differs', 'default_rate_assumed')"), "issues"))
+
+
+def printed_numbers(s, sf):
+    """VAT numbers, digits and names in lines of text, one line per customer."""
+    k = F.col("c_custkey")
+    number = F.concat(F.lit("3"), F.lpad((k * 7).cast("string"), 13, "0"), F.when(k % 3 == 0, "3").otherwise("4"))
+    line = F.concat(F.col("c_name"), F.lit(" / VAT "), number, F.lit(", tel. "), F.translate(k.cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩"))
+    return lens.table(s, sf, "customer").select(
+        k.alias("c_custkey"), text.vat_number_in(line).alias("vat_number"), F.md5(text.western_digits(line)).alias("western_md5"),
+        text.safe_file_name(F.col("c_name")).alias("file_name"), ids.table_ref(F.concat(F.lit("Rates Of "), F.col("c_mktsegment")), k).alias("table_ref"))
+
+
 QUERIES = {f.__name__: f for f in (
     invoice_totals, line_vat, totals_mismatch, invoice_status, batch_counts, structural_issues, category_resolution,
     invoice_reasons, issue_detail, classification_split, payload_lines, result_roundtrip,
@@ -590,4 +754,6 @@ QUERIES = {f.__name__: f for f in (
     chunk_fallback, ingest_points, stable_ids, table_description, table_text, registry_upsert, html_text,
     language_detect, intent, strip_markup, stated_names, session_window, wire_window, last_question, session_view, merged_profiles,
     latest_note, recent_activity, ilike_notes, note_answers, ttl_lookup, batch_update, memory_upsert,
+    file_routes, manifest_join, first_tables, dispatch, rows_from_invoices, replaced_rows, registry_changes, memory_snapshots,
+    profile_snapshots, point_snapshots, customer_memories, citations, item_numbers, filing_note, workpapers, printed_numbers,
 )}

@@ -53,29 +53,33 @@ def bounded_history(messages: DataFrame, cap: int = C.CHAT_HISTORY_MESSAGES) ->
         _BoundedHistory(cap), _HISTORY, outputMode="Update", timeMode="None")
 
 
-def memory_stream(updates: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Customer memories kept as snapshots (context appended, issue overwritten)."""
-    empty = "user_id string, customer_name string, customer_context string, issue_summary string, created_at timestamp, updated_at timestamp"
+MEMORY = "user_id string, customer_name string, customer_context string, issue_summary string, created_at timestamp, updated_at timestamp"
+MEMORY_KEYS = ["user_id", "customer_name"]
 
-    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-        stored = batch.sparkSession.createDataFrame([], empty) if old is None else old
-        return notes.upsert_memories(stored, batch)
 
-    return merge_stream(updates, folder, checkpoint, ["user_id", "customer_name"], merge)
+def merge_memories(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """Context appended, issue overwritten."""
+    return notes.upsert_memories(batch.sparkSession.createDataFrame([], MEMORY) if old is None else old, batch)
 
 
-def profile_stream(updates: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """User profiles kept as snapshots: a value that is given overwrites, null leaves the old one."""
+def memory_stream(updates: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Customer memories kept as a keyed table."""
+    return merge_stream(updates, folder, checkpoint, MEMORY_KEYS, merge_memories)
 
-    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-        fresh = sessions.merged_profiles(batch)
-        if old is None:
-            return fresh
-        fields = [c for c in fresh.columns if c != "user_id"]
-        new = fresh.select("user_id", *[F.col(c).alias(f"new_{c}") for c in fields])
-        return old.join(new, "user_id", "full_outer").select("user_id", *[F.coalesce(f"new_{c}", c).alias(c) for c in fields])
 
-    return merge_stream(updates, folder, checkpoint, ["user_id"], merge)
+def merge_profiles(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """A value that is given overwrites, null leaves the old one."""
+    fresh = sessions.merged_profiles(batch)
+    if old is None:
+        return fresh
+    fields = [c for c in fresh.columns if c != "user_id"]
+    new = fresh.select("user_id", *[F.col(c).alias(f"new_{c}") for c in fields])
+    return old.join(new, "user_id", "full_outer").select("user_id", *[F.coalesce(f"new_{c}", c).alias(c) for c in fields])
+
+
+def profile_stream(updates: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """User profiles kept as a keyed table."""
+    return merge_stream(updates, folder, checkpoint, ["user_id"], merge_profiles)
 
 
 _EXPIRED = T.StructType([T.StructField("batch_id", T.StringType()), T.StructField("user_id", T.StringType()),
@@ -121,13 +125,15 @@ def invoice_stream(arriving: DataFrame, folder: str, checkpoint: str, as_of, tol
     return append_stream(arriving, folder, checkpoint, lambda batch: invoices.check_invoices(batch, as_of, None, tolerance))
 
 
-def ingest_stream(documents: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Chunks arriving documents into points; a document that comes again replaces its points by id."""
+def arriving_points(documents: DataFrame) -> DataFrame:
+    return prose_points(documents).withColumn("run_ts", F.current_timestamp())
+
 
-    def points(batch: DataFrame) -> DataFrame:
-        return prose_points(batch).withColumn("run_ts", F.current_timestamp())
+def merge_points(old: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """Points by id; those of the later run win."""
+    return stores.upsert_chunks(fresh.limit(0) if old is None else old, fresh)
 
-    def merge(old: DataFrame | None, fresh: DataFrame) -> DataFrame:
-        return stores.upsert_chunks(fresh.limit(0) if old is None else old, fresh)
 
-    return merge_stream(documents, folder, checkpoint, ["id"], merge, prepared=points)
+def ingest_stream(documents: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Chunks arriving documents into points; a document that comes again replaces its points by id."""
+    return merge_stream(documents, folder, checkpoint, ["id"], merge_points, prepared=arriving_points)
