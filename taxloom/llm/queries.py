@@ -176,6 +176,81 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+# The parts of the results above that SQL can express, each from the same functions as the whole operator.
+
+
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base rules of op3, without the certified cutoffs."""
+    return quality.measure(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", *quality.BASE, "base_failed")
+
+
+BASE_QUALITY_SQL = r"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+cut AS MATERIALIZED (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+spots AS MATERIALIZED (SELECT row, i, array_to_string(w[i:i + 2], ' ') AS g FROM cut, range(1, len(w) - 1) r(i)),
+twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS n FROM spots) WHERE n > 1),
+held AS (SELECT row, count(DISTINCT i + k) AS n FROM twice, range(0, 3) r(k) GROUP BY row),
+counts AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM cut LEFT JOIN held USING (row))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+"""
+
+
+def base_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes, source sizes and targets of op5, rounded, without the draw."""
+    sizes = mixture.sized(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    targets = mixture.targets_of(sizes.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "of")
+    return sizes.join(targets, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+BASE_TARGETS_SQL = r"""
+WITH docs AS MATERIALIZED (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS MATERIALIZED (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS w FROM docs GROUP BY source),
+-- every source that could be the first one to stay open gives a level; the lowest level at which all shares add up to the whole is the true one
+levels AS (SELECT min(level) AS level FROM (
+  SELECT (SELECT sum(source_size) FROM sources) * 1.0 AS whole, ((SELECT sum(source_size) FROM sources) - coalesce((SELECT sum(3 * o.source_size) FROM sources o WHERE 3.0 * o.source_size / o.w < 3.0 * s.source_size / s.w), 0))
+    / CAST((SELECT sum(o.w) FROM sources o WHERE 3.0 * o.source_size / o.w >= 3.0 * s.source_size / s.w) AS DOUBLE) AS level FROM sources s) x
+  WHERE (SELECT sum(least(3.0 * o.source_size, x.level * o.w)) FROM sources o) >= x.whole - 0.001)
+SELECT doc_id, size, source_size, round(CAST(least(3.0 * source_size, level * w) AS DOUBLE), 3) AS target FROM docs d JOIN sources s ON s.source IS NOT DISTINCT FROM d.source, levels
+"""
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of base findings of op9 and the characters under the access and hex ones, without the linked parts."""
+    scanned = credentials.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.filter("parts", lambda p: p["kind"] == kind)
+    chars = lambda kind: F.aggregate(of(kind), F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["start"])
+    return scanned.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in credentials.STRONG],
+                          chars("access").alias("access_chars"), chars("hex").alias("hex_chars"))
+
+
+BASE_SECRETS_SQL = r"""
+WITH found AS (SELECT doc_id,
+  list_filter(regexp_extract_all(coalesce(text, ''), '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda v: length(v) >= 12) AS a,
+  list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 18) AS k,
+  list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: length(v) >= 16) AS h FROM documents)
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_assign, CAST(len(k) AS BIGINT) AS n_access, CAST(len(h) AS BIGINT) AS n_hex,
+  CAST(length(array_to_string(k, '')) AS BIGINT) AS access_chars, CAST(length(array_to_string(h, '')) AS BIGINT) AS hex_chars FROM found
+"""
+
+
+def base_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hosts, paths and rules of op10, without the model."""
+    return urls.with_parts(_table(spark, sf_dir, "pages").select("page_id", "url")).withColumn("found", urls.matching_rule(URL_RULES)).select(
+        "page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.action").alias("action"))
+
+
+BASE_URLS_SQL = r"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) r(action, h, p)),
+best AS (SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action
+  FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, host, path)
+SELECT parts.page_id, parts.host, parts.path, rule, action FROM parts JOIN best ON best.page_id IS NOT DISTINCT FROM parts.page_id AND best.host = parts.host AND best.path = parts.path
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -190,5 +265,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_conversation_trie": op11_conversation_trie,
     "op12_toxicity": op12_toxicity,
     "op13_embedding_whitening": op13_embedding_whitening,
+    "base_quality": base_quality,
+    "base_targets": base_targets,
+    "base_secrets": base_secrets,
+    "base_urls": base_urls,
 }
-ORACLE: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op11_conversation_trie": OP11_SQL}
+ORACLE: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op11_conversation_trie": OP11_SQL,
+                          "base_quality": BASE_QUALITY_SQL, "base_targets": BASE_TARGETS_SQL, "base_secrets": BASE_SECRETS_SQL, "base_urls": BASE_URLS_SQL}
