@@ -112,9 +112,11 @@ def select_sources(meta: DataFrame, mapping: DataFrame | None = None, default_ra
 
 def register_lines(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows of taking-part sources with a VAT column: values read, total rows marked."""
-    used = sources.filter(F.col("columns.vat").isNotNull()).select(
+    # One row per source: stored, so that its true size decides how it is joined. A few sources fill too few partitions for Spark
+    # to broadcast them later on, and a join by source would read each register in one task.
+    used = settle(sources.filter(F.col("columns.vat").isNotNull()).select(
         "source_id", "source_order", "role", "columns", "default_rate", "unanswered",
-        *[place_of(F.col(f"columns.{f}")).alias(f"place_{f}") for f in REGISTER_FIELDS])
+        *[place_of(F.col(f"columns.{f}")).alias(f"place_{f}") for f in REGISTER_FIELDS]), "used")
     c = lambda field: cell_at(F.col(f"columns.{field}"), F.col(f"place_{field}"))
     said = F.lower(F.array_join(F.col("cells")["value"], " "))
     read = rows.join(used, "source_id").select(
