@@ -2,8 +2,10 @@
 
 import re
 
-from taxloom.operators import period
-from taxloom.plans import lens
+from pyspark.sql import functions as F
+
+from taxloom.operators import invoices, period
+from taxloom.plans import lens, queries
 from taxloom.sources import registers
 
 
@@ -15,3 +17,31 @@ def test_a_register_is_not_dealt_by_its_source(spark, sf):
     meta = registers.describe_sources(lens.register_meta(spark))
     lines = period.register_lines(lens.register_rows(spark, sf), period.select_sources(meta))
     assert "BroadcastHashJoin" in _plan(lines) and not re.search(r"hashpartitioning\(source_id#\d+, \d+\)", _plan(lines))
+
+
+def test_findings_are_listed_from_one_check(spark, sf):
+    plan = _plan(queries.QUERIES["issue_detail"](spark, sf))
+    assert plan.count("FileScan") == 3  # headers, lines, suggestions
+
+
+def test_suggestions_fill_only_lines_without_a_code(spark):
+    one = spark.sql("""select 'x' filename, array(named_struct('line_id', l, 'description', 'd', 'taxable_base', b, 'tax_category_code', c)) line_items
+                       from values ('1', 10.0, null), ('2', 10.0, 'S'), ('3', 10.0, 'what'), (null, 10.0, null), ('4', 10.0, null) t(l, b, c)""")
+    whole = one.groupBy("filename").agg(F.flatten(F.collect_list("line_items")).alias("line_items"))
+    said = spark.createDataFrame([("x", "1", "exempt"), ("x", "1", "zero_rated"), ("x", "2", "exempt"), ("x", "3", "exempt"), ("x", None, "exempt"),
+                                  (None, "4", "exempt"), ("x", "4", "luxury")], "filename string, line_id string, tax_category string")
+    found = {r.line_id: r.tax_category for r in invoices.category_resolution(whole, said).collect()}
+    assert found == {"1": "zero_rated", "2": "standard", "3": "exempt", None: "standard", "4": "standard"}
+
+
+def test_findings_in_the_order_of_their_lists(spark):
+    checked = spark.sql(f"""select * from values
+        ('a', 'flagged', array(named_struct('rule_id', 'r1', 'field', 'f', 'severity', 'error', 'message', 'm1'),
+                               named_struct('rule_id', 'r2', 'field', 'f', 'severity', 'warning', 'message', 'm2')),
+         cast(array(named_struct('field', 'total_vat', 'document_value', 1.5, 'recalculated_value', 2, 'within_tolerance', false)) as array<{invoices.MISMATCH}>)),
+        ('b', 'clean', array(named_struct('rule_id', 'r3', 'field', 'f', 'severity', 'warning', 'message', 'm3')), null),
+        ('c', 'flagged', array(named_struct('rule_id', 'r4', 'field', 'f', 'severity', 'error', 'message', 'm4')), null)
+        t(filename, status, structural_issues, mismatches)""")
+    found = [tuple(r) for r in invoices.issue_detail(checked).orderBy("filename", "part", "pos").collect()]
+    assert found == [("a", "issue", 0, "error", "r1", "m1"), ("a", "issue", 1, "warning", "r2", "m2"),
+                     ("a", "mismatch", 0, "error", "total_vat", "printed 1.50, recalculated 2.00"), ("c", "issue", 0, "error", "r4", "m4")]
