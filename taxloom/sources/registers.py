@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from taxloom import constants as C
 from taxloom.functions.text import strip, vat_number_in
+from taxloom.session import settle
 from taxloom.sources.columns import with_ledger_columns, with_register_columns
 from taxloom.sources.numbering import with_running_totals
 
@@ -57,28 +58,34 @@ def join_records(lines: DataFrame) -> DataFrame:
     """
     opens = F.rlike("line", F.lit(r"\A" + _OPEN)).cast("int")
     stays = F.rlike("line", F.lit(rf"\A{_INSIDE}(?:\z|\"[^,]*+,{_OPEN})")).cast("int")
-    quoted = lines.filter(F.contains("line", F.lit('"'))).withColumn("e0", opens).filter("e0 = 1").select("source_id").distinct()
+    # One row per source here and one per split below: stored, so that they are broadcast by their true size. Few keys fill too few
+    # partitions for Spark to do so later on, and every line would be dealt by its source.
+    quoted = settle(lines.filter(F.contains("line", F.lit('"'))).withColumn("e0", opens).filter("e0 = 1").select("source_id").distinct(), "quoted")
     broken = lines.join(quoted, "source_id", "left_semi").withColumns({"e0": opens, "e1": stays})
     broken = broken.withColumns({"own": F.when(F.col("e0") == F.col("e1"), F.col("e0")), "swap": ((F.col("e0") == 1) & (F.col("e1") == 0)).cast("int")})
     inside = Window.partitionBy("source_id", "split").orderBy("position")
-    # one row per split: where it ends if it begins outside quotes, and inside
-    ends = broken.withColumns({f"from_{s}": _state_before(F.col("own"), F.col("swap"), F.lit(s), inside) for s in (0, 1)})
+    # one row per split: where it ends, and where its last record begins, if it begins outside quotes, and inside; no texts
+    ends = broken.drop("line").withColumns({f"from_{s}": _state_before(F.col("own"), F.col("swap"), F.lit(s), inside) for s in (0, 1)})
     after = lambda s: F.max_by(F.when(F.col(s) == 1, F.col("e1")).otherwise(F.col("e0")), "position")
-    splits = ends.groupBy("source_id", "split").agg(after("from_0").alias("e0"), after("from_1").alias("e1"))
+    latest = lambda s: F.max(F.when(F.col(s) == 0, F.col("position")))
+    splits = ends.groupBy("source_id", "split").agg(after("from_0").alias("e0"), after("from_1").alias("e1"),
+                                                    latest("from_0").alias("latest_0"), latest("from_1").alias("latest_1"))
     over = Window.partitionBy("source_id").orderBy("split")
     fixed = F.when(F.col("e0") == F.col("e1"), F.col("e0"))
     splits = splits.withColumn("begins", _state_before(fixed, ((F.col("e0") == 1) & (F.col("e1") == 0)).cast("int"), F.lit(0), over))
-    states = ends.join(splits.select("source_id", "split", "begins"), ["source_id", "split"]).withColumn(
-        "quoted", F.when(F.col("begins") == 1, F.col("from_1")).otherwise(F.col("from_0")))
-    place = F.struct("split", "position")
+    inward = F.col("begins") == 1
+    begins_at = F.when(inward, F.col("latest_1")).otherwise(F.col("latest_0"))
     # the first line of each record: in this split, or the last one that the splits before began
-    first = states.groupBy("source_id", "split").agg(
-        F.max(F.when(F.col("quoted") == 0, place)).alias("latest"),
-        F.max_by(F.when(F.col("quoted") == 1, F.col("e1")).otherwise(F.col("e0")), "position").alias("ends"))
-    carried = first.select("source_id", "split", F.last("latest", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    unclosed = first.groupBy("source_id").agg(F.when(F.max_by("ends", "split") == 1, F.max("latest")).alias("unclosed"))
+    first = splits.select("source_id", "split", "begins", F.when(inward, F.col("e1")).otherwise(F.col("e0")).alias("ends"),
+                          F.when(begins_at.isNotNull(), F.struct("split", begins_at.alias("position"))).alias("latest"))
+    carried = F.last("latest", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    whole = Window.partitionBy("source_id")
+    unclosed = F.when(F.max_by("ends", "split").over(whole) == 1, F.max("latest").over(whole))
+    known = settle(first.select("source_id", "split", "begins", carried.alias("carried"), unclosed.alias("unclosed")), "splits")
+    states = broken.join(known, ["source_id", "split"]).withColumn("quoted", _state_before(F.col("own"), F.col("swap"), F.col("begins"), inside))
+    place = F.struct("split", "position")
     begun = F.last(F.when(F.col("quoted") == 0, place), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    records = states.withColumn("begun", begun).join(carried, ["source_id", "split"]).join(unclosed, "source_id").select(
+    records = states.withColumn("begun", begun).select(
         "source_id", "line", place.alias("place"), F.when(F.coalesce(place >= F.col("unclosed"), F.lit(False)), place).otherwise(
             F.coalesce("begun", "carried")).alias("record"))
     joined = records.groupBy("source_id", "record").agg(F.array_join(F.transform(
@@ -103,7 +110,7 @@ def number_by_split(rows: DataFrame, name: str) -> DataFrame:
     the splits before it. A split is bounded by ``spark.sql.files.maxPartitionBytes``."""
     counts = rows.groupBy("source_id", "split").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source_id", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = settle(counts.select("source_id", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "offsets")
     inside = Window.partitionBy("source_id", "split").orderBy("position")
     return rows.withColumn("in_split", F.row_number().over(inside) - 1).join(offsets, ["source_id", "split"]).withColumn(
         name, F.col("in_split") + F.col("offset")).drop("in_split", "offset")
@@ -112,15 +119,16 @@ def number_by_split(rows: DataFrame, name: str) -> DataFrame:
 def read_registers(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """(rows, meta) of CSV files. Header: the first line with two filled cells, else the first line."""
     lines = join_records(read_lines(spark, paths)).filter(~_blank(F.col("line")))
-    cells = lines.select("source_id", "split", "position", csv_cells(F.col("line")).alias("values"))
+    # Stored, as they are read for the header, the titles, the numbers and the rows; of headers there is one per source.
+    cells = settle(lines.select("source_id", "split", "position", csv_cells(F.col("line")).alias("values")), "cells")
     filled = F.size(F.filter("values", lambda v: ~_blank(v)))
     place = F.struct("split", "position")
-    header_at = cells.groupBy("source_id").agg(
-        F.coalesce(F.min(F.when(filled >= 2, place)), F.min(place)).alias("header_at"))
+    header_at = settle(cells.groupBy("source_id").agg(
+        F.coalesce(F.min(F.when(filled >= 2, place)), F.min(place)).alias("header_at")), "header_at")
     marked = cells.join(header_at, "source_id")
-    headers = marked.filter(place == F.col("header_at")).select(
+    headers = settle(marked.filter(place == F.col("header_at")).select(
         "source_id", F.transform("values", lambda v, i: F.when(_blank(v), F.concat(F.lit("Unnamed: "), i.cast("string")))
-                                 .otherwise(strip(v))).alias("column_names"))
+                                 .otherwise(strip(v))).alias("column_names")), "headers")
     above = marked.filter((place < F.col("header_at")) & (filled > 0)).groupBy("source_id").agg(F.array_sort(F.collect_list(
         F.struct("split", "position", F.array_join(F.transform(
             F.filter("values", lambda v: ~_blank(v)), strip), " ").alias("text")))).alias("lines"))

@@ -19,6 +19,25 @@ def test_a_register_is_not_dealt_by_its_source(spark, sf):
     assert "BroadcastHashJoin" in _plan(lines) and not re.search(r"hashpartitioning\(source_id#\d+, \d+\)", _plan(lines))
 
 
+def test_lines_of_a_file_are_not_dealt_by_the_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Title\nNo,Note\n' + "".join(f'{i},"one\n""two"",{i}"\n' for i in range(50)))
+    rows, _ = registers.read_registers(spark, str(tmp_path))
+    assert not re.search(r"hashpartitioning\(source_id#\d+, \d+\)", _plan(rows))
+    found = rows.orderBy("row_index").select("row_index", F.transform("cells", lambda c: c["value"]).alias("v")).collect()
+    assert [(r.row_index, r.v) for r in found] == [(i, [str(i), f'one\n"two",{i}']) for i in range(50)]
+
+
+def test_a_record_over_several_splits(spark):
+    """Splits that begin inside quotes, one without any line outside them, and quotes that never close."""
+    closed = [(0, 0, 'a,"b'), (0, 1, 'c"'), (0, 2, 'd,"e'), (10, 3, "f"), (10, 4, '""g""'), (20, 5, 'h"'), (20, 6, "i,j")]
+    lost = [(0, 0, "a,b"), (0, 1, 'c,"d'), (10, 2, "e"), (10, 3, "f")]
+    lines = spark.createDataFrame([(s, *x) for s, group in (("closed", closed), ("lost", lost)) for x in group],
+                                  "source_id string, split bigint, position bigint, line string")
+    found = sorted(tuple(r) for r in registers.join_records(lines).collect())
+    assert found == [("closed", 0, 0, 'a,"b\nc"'), ("closed", 0, 2, 'd,"e\nf\n""g""\nh"'), ("closed", 20, 6, "i,j"),
+                     ("lost", 0, 0, "a,b"), ("lost", 0, 1, 'c,"d'), ("lost", 10, 2, "e"), ("lost", 10, 3, "f")]
+
+
 def test_findings_are_listed_from_one_check(spark, sf):
     plan = _plan(queries.QUERIES["issue_detail"](spark, sf))
     assert plan.count("FileScan") == 3  # headers, lines, suggestions
