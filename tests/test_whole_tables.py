@@ -4,9 +4,11 @@ import re
 
 from pyspark.sql import functions as F
 
-from taxloom.operators import invoices, period
+from taxloom.operators import invoices, match, period, summary
 from taxloom.plans import lens, queries
+from taxloom.session import settle
 from taxloom.sources import registers
+from tests.helpers import ROWS
 
 
 def _plan(frame):
@@ -64,3 +66,21 @@ def test_findings_in_the_order_of_their_lists(spark):
     found = [tuple(r) for r in invoices.issue_detail(checked).orderBy("filename", "part", "pos").collect()]
     assert found == [("a", "issue", 0, "error", "r1", "m1"), ("a", "issue", 1, "warning", "r2", "m2"),
                      ("a", "mismatch", 0, "error", "total_vat", "printed 1.50, recalculated 2.00"), ("c", "issue", 0, "error", "r4", "m4")]
+
+
+def test_items_without_a_choice_go_around_the_join(spark):
+    rows = spark.createDataFrame([("a1", 0, "a", None, None, 1, None), ("a2", 2, "a", None, None, 1, None), ("a3", 6, "a", None, None, 1, None)],
+                                 ROWS.replace("decimal(24,6)", "int"))
+    choice = F.when(F.col("row_id") == "a1", "c1").when(F.col("row_id") == "a3", "c2")
+    items = settle(match.make_items(rows, item_id=F.col("row_id"), kind=F.lit("ambiguous"), row_a=match.as_struct(), choice_id=choice))
+    candidates = spark.sql(
+        f"select c choice_id, cast(named_struct('row_id', i, 'ordinal', o, 'source', 'b', 'reference', null, 'date', null, 'amount', 1, 'description', null) as {match.ROW}) candidate "
+        "from values ('c1', 'b2', 2), ('c1', 'b1', 1) t(c, i, o)")
+    for made in (lens.decisions(items, candidates), lens.accept_all(items, candidates), summary.exception_rows(items, candidates)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        joined = plan[plan.index("Join LeftOuter"):]
+        left = joined[:joined.index("Aggregate")]  # the items; below them comes what there is per choice
+        assert "isnotnull(choice_id" in left
+        assert sorted(r.item_id for r in made.collect()) == ["a1", "a2", "a3"]
+    picked = {r.item_id: r.selected_candidate_id for r in lens.accept_all(items, candidates).collect()}
+    assert picked == {"a1": "b1", "a2": None, "a3": None}
