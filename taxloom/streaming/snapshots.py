@@ -21,11 +21,7 @@ def merge_stream(stream: DataFrame, folder: str, checkpoint: str, keys: list[str
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        rows = prepared(batch).persist()  # read for its buckets, then for the merge
-        try:
-            stores.merge_snapshot(rows, folder, batch_id + 1, keys, merge)
-        finally:
-            rows.unpersist()
+        stores.merge_snapshot(prepared(batch), folder, batch_id + 1, keys, merge)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from taxloom.operators import invoices, match, period, summary
 from taxloom.plans import lens, queries
 from taxloom.session import settle
-from taxloom.sources import registers
+from taxloom.sources import registers, stores
 from tests.helpers import ROWS
 
 
@@ -84,3 +84,18 @@ def test_items_without_a_choice_go_around_the_join(spark):
         assert sorted(r.item_id for r in made.collect()) == ["a1", "a2", "a3"]
     picked = {r.item_id: r.selected_candidate_id for r in lens.accept_all(items, candidates).collect()}
     assert picked == {"a1": "b1", "a2": None, "a3": None}
+
+
+def test_a_batch_is_made_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def named(k):
+        seen.add(1)
+        return f"v{k}"
+
+    batch = spark.range(40).select(F.col("id"), named("id").alias("name"))
+    stores.merge_snapshot(batch, str(tmp_path / "t"), 1, ["id"], lambda old, fresh: fresh.filter("name != ''"), 4)
+    assert seen.value == 40
+    assert not batch.storageLevel.useMemory
+    assert stores.latest_snapshot(spark, str(tmp_path / "t"))[0].count() == 40
